@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import exact_dedup, mixing
+from heddle.llm import exact_dedup, mixing, quality_rules
 from heddle.llm.common import table
 from heddle.llm.oracle import SQL
 
@@ -17,10 +17,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
 def queries() -> dict:
     return {
         "op4_mix_sources": op4_mix_sources,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_quality_rules": op7_quality_rules,
     }
 
 

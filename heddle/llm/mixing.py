@@ -103,8 +103,10 @@ def _plan(rows: DataFrame, block: int, seed: int, weights: tuple[int, ...]) -> D
         .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "start"))).alias("starts"))
     )
     s = targets.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("cap", 2 * F.col("blocks"))
-    s = s.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
-    s = _seats(s, [], "source").drop("seats", "cap")
+    # The last block of a stream may be short: a target is that share of the source's blocks.
+    s = s.withColumn("words", F.col("target")).withColumn("target", F.when(F.col("source_size") > 0, F.col("words") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
+    s = s.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy())).cast("long"))
+    s = _seats(s, [], "source").withColumn("target", F.col("words")).drop("seats", "cap", "words")
     # Shards: equal runs of blocks, at most SHARDS of a source; the last may be shorter.
     s = s.withColumn("run", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("blocks") / SHARDS)))
     shards = s.where("blocks > 0").select("source", "quota", "run", "blocks", F.explode(F.expr("sequence(0L, (blocks - 1) div run)")).alias("shard"))

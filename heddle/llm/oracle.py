@@ -14,3 +14,39 @@ r AS (
   FROM t)
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha AS text_sha256 FROM r
 """
+
+SQL["op7_quality_rules"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM t),
+g AS (
+  SELECT rid, i, [words[i], words[i + 1], words[i + 2]] AS gram
+  FROM w, LATERAL (SELECT unnest(range(1, len(words) - 1)) AS i)),
+twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n > 1),
+covered AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid),
+c AS (
+  SELECT w.rid, doc_id, text, len(words)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS letters,
+         length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS capitals,
+         length(text) - length(regexp_replace(text, '!', '', 'g')) AS shouts
+  FROM w LEFT JOIN covered USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
+            OR n_symbols > 0.3::DOUBLE * n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR n_dup_lines > 0.5::DOUBLE * n_lines
+            OR (letters > 0 AND capitals > 0.5::DOUBLE * letters)
+            OR shouts > 0.5::DOUBLE * n_words
+            OR word_chars - letters > 0.5::DOUBLE * word_chars) AS kept
+FROM c
+"""
