@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import chat, exact_dedup, mixing, quality_rules
+from heddle.llm import chat, exact_dedup, mixing, quality_rules, secrets
 from heddle.llm.common import table
 from heddle.llm.oracle import SQL
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("picks")
 
@@ -30,6 +34,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_secret_scan": op3_secret_scan,
         "op4_mix_sources": op4_mix_sources,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
