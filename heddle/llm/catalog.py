@@ -4,11 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.llm import chat, exact_dedup, mixing, quality_rules, secrets
+from heddle.llm import chat, exact_dedup, mixing, packing, quality_rules, secrets, simhash
 from heddle.llm.common import table
 from heddle.llm.oracle import SQL
 
 
+def vocabulary() -> str:
+    """The public vocabulary that packing encodes with; every executor has it installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -17,6 +28,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("picks")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -34,8 +49,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op3_secret_scan": op3_secret_scan,
         "op4_mix_sources": op4_mix_sources,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op10_chat_format": op10_chat_format,
