@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heddle.llm import chat, exact_dedup, mixing, packing, quality_rules, secrets, simhash
-from heddle.llm.common import table
+from heddle.llm import chat, exact_dedup, langid, mixing, packing, quality_model, quality_rules, secrets, simhash
+from heddle.llm.common import remainder, table
 from heddle.llm.oracle import SQL
 
 
@@ -16,6 +17,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = langid.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -40,6 +49,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    found = quality_model.classify(table(spark, sf_dir, "documents"), labels, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "'</s>[INST] ok [/INST]'"
     own = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {said}), (-7L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
@@ -49,12 +65,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_secret_scan": op3_secret_scan,
         "op4_mix_sources": op4_mix_sources,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_chat_format": op10_chat_format,
     }
 
