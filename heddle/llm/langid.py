@@ -14,7 +14,6 @@ driver is one row for each (language, table cell), whatever the input.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -61,11 +60,22 @@ def script_of(letter: str) -> str:
     return "other"
 
 
-def cells_of(word: str) -> np.ndarray:
-    """The table cells of the n-grams of a word between its borders."""
-    framed = f"^{word}$"
-    grams = [framed[i : i + n].encode() for n in ORDERS for i in range(len(framed) - n + 1)]
-    return np.fromiter(map(zlib.crc32, grams), np.int64, len(grams)) % CELLS
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def cells_of(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Where each word starts among all letters of all words (with a border on either side), and for each n-gram order the table cell at each letter and whether the n-gram lies in one word."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    left = np.repeat(ends, lengths) - np.arange(len(codes))
+    out, rolled = [], np.zeros(len(codes), np.uint64)
+    for n in ORDERS:
+        rolled[: len(codes) - n + 1] += codes[n - 1 :] * _MIX[n - 1]
+        h = rolled ^ (rolled >> np.uint64(31))
+        h *= _MIX[1]
+        out.append(((h >> np.uint64(40)).astype(np.int64) % CELLS, left >= n))
+    return ends - lengths, out
 
 
 @dataclass
@@ -74,9 +84,16 @@ class Model:
     table: np.ndarray  # CELLS x languages: log-probabilities less their mean
     outside: dict[str, np.ndarray]  # script -> loss of each language
 
-    def word(self, word: str) -> np.ndarray:
-        row = self.table[cells_of(word)].mean(axis=0) * WORD_WEIGHT
-        return row - self.outside[script_of(word[0])]
+    def words(self, words: list[str]) -> np.ndarray:
+        """One row of scores for each word."""
+        starts, orders = cells_of(words)
+        total = np.zeros((int(starts[-1]) + len(words[-1]) + 2, len(self.langs)), np.float32)
+        n = np.zeros(len(total), np.float32)
+        for cells, inside in orders:
+            total[inside] += self.table[cells[inside]]
+            n += inside
+        row = np.add.reduceat(total, starts) / np.add.reduceat(n, starts)[:, None] * np.float32(WORD_WEIGHT)
+        return row - np.stack([self.outside[script_of(w[0])] for w in words])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +103,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             seen.setdefault(lang, Counter()).update(_WORDS(text.lower()))
     for lang, words in seen.items():
-        cells, scripts = np.zeros(CELLS, np.int64), Counter()
+        cells, scripts = np.zeros(CELLS), Counter()
+        words = {w: n for w, n in words.items() if w.isalpha()}
         for word, n in words.items():
-            if word.isalpha():
-                np.add.at(cells, cells_of(word), n)
-                scripts[script_of(word[0])] += n * len(word)
+            scripts[script_of(word[0])] += n * len(word)
+        if words:
+            starts, orders = cells_of(list(words))
+            n = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+            for at, inside in orders:
+                cells += np.bincount(at[inside], n[inside], CELLS)
         used = np.flatnonzero(cells)
         names = [-1 - SCRIPTS.index(s) for s in scripts]
         at = np.concatenate([used, np.array(names, np.int64)]).astype(np.int64)
@@ -134,19 +155,24 @@ class Labeller:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(self.model.langs)), np.float32)
-        self.letters = np.zeros(1024, np.int64)
+        self.fresh: list[str] = []
+        self.scores = np.zeros((0, len(self.model.langs)), np.float32)
+        self.letters = np.zeros(0, np.int64)
 
     def _learn(self, word: str) -> int:
-        at = len(self.known)
-        if at == len(self.letters):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        if word.isalpha():
-            self.scores[at], self.letters[at] = self.model.word(word), len(word)
-        self.known[word] = at
+        self.fresh.append(word)
+        self.known[word] = at = len(self.known)
         return at
 
+    def score_fresh(self) -> None:
+        """Scores the words met since the last call, all at once."""
+        for at in range(0, len(self.fresh), 50_000):
+            part = self.fresh[at : at + 50_000]
+            spelt = np.fromiter(map(str.isalpha, part), bool, len(part))  # numerals aren't letters
+            self.scores = np.concatenate([self.scores, self.model.words(part) * spelt[:, None]])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, part), np.int64, len(part)) * spelt])
+        self.fresh = []
+
     def ids(self, words: list[str]) -> np.ndarray:
         known, learn = self.known, self._learn
         return np.fromiter((known[w] if w in known else learn(w) for w in words), np.int32, len(words))
@@ -217,6 +243,7 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[
         labeller = Labeller(shared.value)
 
         def told(texts: list[str], ids: list[np.ndarray]) -> tuple[list, ...]:
+            labeller.score_fresh()
             paths = labeller.paths(ids)
             found = [labeller.verdict(i, p) for i, p in zip(ids, paths)]
             cuts = [np.flatnonzero(p[1:] != p[:-1]) + 1 for p in paths]
