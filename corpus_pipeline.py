@@ -4,7 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from heddle.llm import exact_dedup, langid, mixing, packing, simhash
+from heddle.llm.catalog import vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in an identified language; texts without letters or a leading language go."""
+    return langid.keep_identified(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return simhash.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at their target weights: parts left out go, repeated parts come twice."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [("language_id", language), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mix_sources", mix), ("best_fit_packing", pack)]
 
 #: SQL can express neither the language model nor the near-duplicates.
 ORACLE_SQL = None

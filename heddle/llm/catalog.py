@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, exact_dedup, langid, mixing, packing, quality_model, quality_rules, secrets, simhash
+from heddle.llm import chat, exact_dedup, langid, mixing, packing, quality_model, quality_rules, secrets, simhash, substring
 from heddle.llm.common import remainder, table
 from heddle.llm.oracle import SQL
 
@@ -49,6 +49,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 3) == 1
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
@@ -72,6 +76,7 @@ def queries() -> dict:
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_chat_format": op10_chat_format,
     }

@@ -228,8 +228,8 @@ class Labeller:
         return self.model.langs[win], float(per[win] / total / odds) if odds >= 1 else float(per[win] / total)
 
 
-def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score, n_spans (and ``spans``, ``keep``).
+def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[str, ...] = (), names: tuple[str, ...] = ("lang_pred", "score", "n_spans", "spans")) -> DataFrame:
+    """One row per row of ``docs``: doc_id and ``keep``, then lang_pred, score, n_spans (and ``spans``) under ``names``.
 
     ``und`` with score 0 where the text is null or has no letter, and for every
     text if nothing was learned. Whole texts are labelled, however long. Ties
@@ -238,6 +238,8 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[
     rows give equal rows; an empty table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = [c for c in keep if c not in ("doc_id", "text")]
+    out = ["doc_id", *(["text"] if "text" in keep else []), *carried]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
@@ -253,7 +255,7 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[
         for b in batches:
             outs, texts, ids, held = [], [], [], 0
             for text in b.column(1).to_pylist():
-                lower = text.lower()
+                lower = (text or "").lower()
                 ids.append(labeller.ids(_WORDS(lower)))
                 texts.append(lower if spans else "")
                 held += len(ids[-1])
@@ -269,13 +271,27 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[
             arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32())]
             if spans:
                 arrays.append(pa.array(cols[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            names = ["lang_pred", "score", "n_spans", *(["spans"] if spans else [])]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *arrays], names=["doc_id", *b.schema.names[2:], *names])
+            passed = [b.column(0), *([b.column(1)] if "text" in keep else []), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*passed, *arrays], names=[*out, *names[: len(arrays)]])
 
-    rows = docs.select("doc_id", text_of().alias("__text"), *keep)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
-    extra = ", spans array<struct<start:int,end:int,lang:string>>" if spans else ""
-    return rows.mapInArrow(label, ", ".join(kinds) + ", lang_pred string, score double, n_spans int" + extra)
+    rows = docs.select("doc_id", "text", *carried)
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out]
+    types = ("string", "double", "int", "array<struct<start:int,end:int,lang:string>>")[: 4 if spans else 3]
+    return rows.mapInArrow(label, ", ".join([*kinds, *[f"`{n}` {t}" for n, t in zip(names, types)]]))
+
+
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """``docs`` without texts that have no letter or of which no language holds ``least`` of the letters.
+
+    The model is learned from the table's own ``lang``. Rows and columns are
+    otherwise untouched; with no labelled row nothing is known and nothing kept
+    but what has letters.
+    """
+    model = train(docs.select("doc_id", "text", "lang"))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score", "__spans"))
+    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def _spans(text: str, path: np.ndarray, cuts: np.ndarray, langs: list[str]) -> list[dict]:

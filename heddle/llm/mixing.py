@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import n_words, stored, text_of
+from heddle.llm.common import WORD, n_words, stored, text_of
 
 BLOCK = 32
 SHARDS = 1024
@@ -128,8 +128,15 @@ def mix(docs: DataFrame, *, block: int = BLOCK, seed: int = 17, weights: tuple[i
     interchangeable, so reruns agree on any partitioning. An empty table gives
     no rows; other columns are neither read nor clash.
     """
+    rows = docs.select("doc_id", "source", F.col("text").alias("__text"), *keep)
+    found = mix_rows(rows, block=block, seed=seed, weights=weights, keep=keep)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "picks", *keep)
+
+
+def mix_rows(docs: DataFrame, *, block: int = BLOCK, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What ``mix`` gives, from rows whose text is ``__text``; ``source`` stays."""
     rows = docs.select(
-        "doc_id", "source", n_words(text_of()).alias("size"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        "doc_id", "source", n_words(text_of("__text")).alias("size"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"),
         F.xxhash64(F.lit(seed + 1), "doc_id").alias("turn"), *keep,
     )
     rows = stored(rows, "mix-sizes")
@@ -150,4 +157,25 @@ def mix(docs: DataFrame, *, block: int = BLOCK, seed: int = 17, weights: tuple[i
     picks = F.expr(f"if(size > 0, {pick.replace('(with_shard(b))', copies)}, array())")
     rows = rows.withColumn("picks", picks)
     taken = F.expr("aggregate(picks, 0L, (t, p) -> t + (p.until - p.from) * p.copies)")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "picks", *keep)
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "picks", *keep)
+
+
+def mixed_documents(docs: DataFrame, *, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: one row for each pass over a document that takes words of it.
+
+    A pass that takes the whole text leaves it as it is; one that takes some of
+    its blocks joins their words by a space. ``n_chars``, if there, is counted
+    anew. Documents of which nothing is taken have no row.
+    """
+    kept = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    clash = docs.select("doc_id", "source", *[F.col(c).alias(f"__{c}") for c in kept])
+    found = mix_rows(clash, block=block, seed=seed, keep=tuple(f"__{c}" for c in kept))
+    found = found.withColumn("__pass", F.explode(F.array(F.lit(1), F.lit(2)))).where(F.exists("picks", lambda p: p["copies"] >= F.col("__pass")))
+    whole = F.forall("picks", lambda p: p["copies"] >= F.col("__pass"))
+    words = F.regexp_extract_all("__text", F.lit(WORD), 0)
+    part = F.expr("array_join(flatten(transform(filter(picks, p -> p.copies >= __pass), p -> slice(__words, cast(p.from as int) + 1, cast(p.until - p.from as int)))), ' ')")
+    found = found.withColumn("__words", F.when(~whole, words)).withColumn("__text", F.when(whole, F.col("__text")).otherwise(part))
+    columns = {"doc_id": F.col("doc_id"), "source": F.col("source")} | {c: F.col(f"__{c}") for c in kept}
+    if "n_chars" in kept:
+        columns["n_chars"] = F.char_length("__text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])

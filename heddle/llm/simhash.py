@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import stored, text_of
 from heddle.llm.components import components
+from heddle.llm.units import CHUNK, dealt, forest, groups
 
 DISTANCE, RING, SHINGLE, SEED = 4, 5, 4, 42
-CHUNK = 4096
 WIDTHS = (13, 13, 13, 13, 12)
 
 
@@ -58,16 +58,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > many, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with fp a signed 64-bit integer; null texts are empty."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = (), name: str = "fp") -> DataFrame:
+    """doc_id and ``keep``, then the fingerprint as a signed 64-bit integer; null texts are empty."""
+    carried = [c for c in keep if c not in ("doc_id", "text")]
+    out = ["doc_id", *(["text"] if "text" in keep else []), *carried]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.encode(), shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint((t or "").encode(), shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            passed = [b.column(0), *([b.column(1)] if "text" in keep else []), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(fps.view(np.int64))], names=[*out, name])
 
-    rows = docs.select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select("doc_id", "text", *carried)
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out]
+    return rows.mapInArrow(of, ", ".join([*kinds, f"`{name}` long"]))
 
 
 def _masks() -> tuple[list[int], list[list[int]]]:
@@ -105,83 +109,30 @@ def _linked(x: np.ndarray, chains: np.ndarray) -> np.ndarray:
     return left[np.bitwise_count(x[left]) <= DISTANCE]
 
 
-def forest(values: np.ndarray, chains: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest of ``values``: as many as values at most."""
-    rest, links, queue = np.arange(1, len(values)), [], [0]
-    while len(rest):
-        if not queue:
-            queue, rest = [int(rest[0])], rest[1:]
-            continue
-        at = queue.pop()
-        hit = _linked(values[rest] ^ values[at], chains)
-        if len(hit):
-            found = rest[hit].tolist()
-            links += [(at, x) for x in found]
-            queue += found
-            rest = np.delete(rest, hit)
-    return links
-
-
 def _link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each unit (k, bits, i, j): its rows come one after the other, over batch ends too."""
-
-    def told(k: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        links = forest(values, _CHAINS[k])
-        if not links:
-            return None
-        ends = values.view(np.int64)[np.array(links)]
-        return ends[:, 0], ends[:, 1]
-
-    held: list[np.ndarray] | None = None
-    unit = None
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        new = np.zeros(b.num_rows, bool)
-        new[:1] = True
-        for c in cols[:4]:
-            new[1:] |= c[1:] != c[:-1]
-        starts = np.flatnonzero(new)
-        values = cols[4].view(np.uint64) if cols[4].dtype == np.int64 else cols[4].astype(np.int64).view(np.uint64)
-        ends = np.append(starts[1:], b.num_rows)
-        out = []
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            name = None
-            if s == 0 or e == b.num_rows:
-                name = tuple(int(c[s]) for c in cols[:4])
-            if s == 0 and name == unit:
-                held.append(values[:e])
-                if e < b.num_rows:
-                    out.append(told(name[0], np.concatenate(held)))
-                    held = unit = None
-                continue
-            if s == 0 and held is not None:
-                out.append(told(unit[0], np.concatenate(held)))
-                held = unit = None
-            if e == b.num_rows:
-                held, unit = [values[s:e].copy()], name
-            elif e - s > 1:
-                out.append(told(int(cols[0][s]), values[s:e]))
-        out = [x for x in out if x is not None]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
-    if held is not None and (last := told(unit[0], np.concatenate(held))) is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], names=["a", "b"])
+    for (k, *_), (fps,) in groups(batches, 4):
+        values = fps.to_numpy(zero_copy_only=False).view(np.uint64)
+        found = forest(len(values), lambda i, others: _linked(values[others] ^ values[i], _CHAINS[k]))  # noqa: B023
+        if found:
+            ends = values.view(np.int64)[np.array(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
 
 def links(values: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(a, b): links that connect whatever is connected among the distinct ``fp`` of ``values``."""
     signed = [m - (1 << 64) if m >> 63 else m for m in KEYS]
-    keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("k", "bits"))
-    crowded = keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    crowded = stored(crowded.select("k", "bits", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "simhash-crowded")
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    # Chunk c meets every chunk: units (i, j) with i <= j and c among them.
-    units = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-    )
-    rows = keyed.join(crowded, ["k", "bits"], "left").select("k", "bits", F.explode(units).alias("u"), "fp").select("k", "bits", "u.i", "u.j", "fp")
-    rows = rows.repartition("k", "bits", "i", "j").sortWithinPartitions("k", "bits", "i", "j")
-    return rows.mapInArrow(_link_units, "a long, b long")
+    keyed = values.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("k", "bits"), "fp")
+    return dealt(keyed, ["k", "bits"], "fp", chunk).mapInArrow(_link_units, "a long, b long")
+
+
+def named_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(v, component_id) for each distinct ``fp`` of ``rows`` (doc_id, fp)."""
+    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-values")
+    found = stored(links(values.select("fp"), chunk), "simhash-links")
+    roots = components(found)
+    grouped = values.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return grouped.join(ids, "root").select(F.col("fp").alias("v"), "root", "component_id")
 
 
 def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
@@ -193,10 +144,19 @@ def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, chunk: int = CHUNK)
     columns are ignored.
     """
     rows = stored(fingerprints(docs, shingle), "simhash-fps")
-    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-values")
-    found = stored(links(values.select("fp"), chunk), "simhash-links")
-    roots = components(found)
-    grouped = values.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(ids, "root").select(F.col("fp").alias("v"), "component_id")
+    named = named_values(rows, chunk)
     return rows.join(named, F.col("fp") == F.col("v")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of its smallest doc_id, null ids last, repeated ids by fingerprint.
+
+    Columns are untouched. Texts without words are one component.
+    """
+    rows = fingerprints(docs, keep=tuple(docs.columns), name="__fp").withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(rows, "simhash-rows")
+    slim = rows.select("doc_id", F.col("__fp").alias("fp"), F.col("__row").alias("row"))
+    named = named_values(slim.select("doc_id", "fp"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row")).alias("best")
+    kept = slim.join(named, F.col("fp") == F.col("v")).groupBy("root").agg(best).select(F.col("best.row").alias("__kept"))
+    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
