@@ -38,8 +38,8 @@ def timed_out(age_ms: Column, suspect_ms: int, failed_ms: int) -> Column:
     return F.when(age_ms.isNull(), "UNKNOWN").when(age_ms > failed_ms, "FAILED").when(age_ms > suspect_ms, "SUSPECTED").otherwise("OK")
 
 
-def stream_states(beats: DataFrame, peer: str, timeout: str = "9 seconds") -> DataFrame:
-    """A stream of (peer, beats, state): OK at each batch with beats, FAILED once a peer is silent for ``timeout``."""
+def stream_states(beats: DataFrame, peer: str, timeout_ms: int = 3 * BEAT_MS) -> DataFrame:
+    """A stream of (peer, beats, state): OK at each batch with beats, FAILED once a peer is silent for ``timeout_ms``."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kind = beats.schema[peer].dataType.simpleString()
@@ -51,7 +51,7 @@ def stream_states(beats: DataFrame, peer: str, timeout: str = "9 seconds") -> Da
         else:
             n, now = (held.get[0] if held.exists else 0) + sum(map(len, batches)), "OK"
             held.update((n,))
-            held.setTimeoutDuration(timeout)
+            held.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({peer: [key[0]], "beats": [n], "state": [now]})
 
     return beats.groupBy(peer).applyInPandasWithState(step, f"{peer} {kind}, beats long, state string", "beats long", "update", GroupStateTimeout.ProcessingTimeTimeout)
