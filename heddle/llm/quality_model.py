@@ -29,7 +29,7 @@ STATISTICS = (
     "high", "distinct", "short", "entropy", "log_line", "line_copies", "squeezed", "top_word",
 )
 #: Shares of the pooled covariance and of the identity in each class's covariance.
-POOLED, RIDGE = 0.1, 0.01
+POOLED, RIDGE = 0.5, 0.05
 
 _UPPER, _LOWER, _DIGIT = (np.frombuffer(s, np.uint8) for s in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"))
 _SYMBOL = np.frombuffer(b"#$%&*<>@^~=+_\\/{}[]", np.uint8)
