@@ -179,6 +179,8 @@ class Labeller:
 
     def paths(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """The most likely language of each word of each document, all documents step by step together."""
+        if not self.model.langs:
+            return [np.zeros(0, np.int8)] * len(docs)
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         lengths = np.array([len(docs[i]) for i in order], np.int64)
         flat = np.concatenate([docs[i] for i in order]) if docs else np.zeros(0, np.int32)

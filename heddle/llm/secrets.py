@@ -31,6 +31,20 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_TOTAL, LEAST_PAIR = 800, 40
 #: Most documents whose words stand for ordinary identifiers, and the number of random strings of each form.
 SAMPLE_ROWS, RANDOM_STRINGS = 1000, 2000
+#: Words of ordinary identifiers: what the models know where the documents hold few.
+ORDINARY = """account action active address agent alias amount append archive array article asset async attribute author backup balance batch block body buffer build
+button cache callback cancel category channel check child class client cluster code collection color column command comment commit common component config connection container
+content context control controller copy count country create current customer data database date debug default delete description detail device directory display document domain
+download duration edge edit email enable encode engine entity entry environment error event example exception execute export factory feature field file filter final find flag
+folder format frame function gateway global graph group handler hash header height helper history host identifier image import index initial input insert instance integer interface
+internal invoice item iterator job join kernel key label language layer layout length level library license limit line link list listener load local location logger login main
+manager mapping master matrix member memory menu message method metric model module monitor name network node normal notification number object offset operation option order output
+owner package page panel parameter parent parser password patch path pattern payment permission pipeline plugin pointer policy pool port position prefix price primary process
+product profile project property protocol provider public query queue random range reader record reference region register release remote render report repository request reset
+resource response result return role root route row rule runtime sample schedule schema scope script search secret section security select selector sender sequence server service
+session setting shader shape share signal size snapshot source stack stage start state status storage stream string structure style subject submit suffix summary support symbol
+system table tag target task template test text thread time title token tool total trace transaction transform tree trigger type unit update upload user util validate value variable
+vector version view visible volume warning widget width window worker wrapper writer zone""".split()
 
 
 def _hex_runs() -> str:
@@ -73,14 +87,16 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_RO
     """(token, label): 1 for random strings, 0 for ordinary identifiers.
 
     Random strings are digests written in hexadecimal and base 64, whole and in
-    capitals. Ordinary identifiers are words of at most ``rows`` documents,
-    alone and joined as people join them.
+    capitals. Ordinary identifiers are ORDINARY words in a hashed order and
+    words of at most ``rows`` documents, alone and joined as people join them.
     """
     ids = spark.range(RANDOM_STRINGS).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
     b64 = F.regexp_replace(F.base64(F.unhex("h")), "=", "")
     random = ids.select(F.explode(F.array(F.substring("h", 1, 40), b64, F.upper(b64), F.regexp_replace(b64, "[+/]", ""))).alias("token"))
     words = F.filter(F.split(F.regexp_replace(text_of(), r"[^A-Za-z]+", " "), " "), lambda w: F.char_length(w) >= 2)
-    ordinary = docs.select("text").limit(rows).select(words.alias("w")).where("size(w) > 3")
+    listed_words = F.split(F.lit(" ".join(ORDINARY)), " ")
+    shuffled = spark.range(20).select("id", listed_words.alias("l")).select(F.expr("transform(array_sort(transform(l, x -> struct(xxhash64(id, x) as h, x as x))), s -> s.x)").alias("w"))
+    ordinary = docs.select("text").limit(rows).select(words.alias("w")).where("size(w) > 3").unionByName(shuffled)
     joined = """flatten(transform(sequence(0, size(w) - 4, 4), i -> array(
         w[i], concat(w[i], w[i + 1]), concat(lower(w[i]), '_', lower(w[i + 1]), '_', lower(w[i + 2])), concat(upper(w[i]), '_', upper(w[i + 1])),
         concat(w[i], '-', w[i + 1], '-', cast(pmod(hash(w[i]), 2030) as string)), concat('/', w[i], '/', w[i + 1], '/', w[i + 2]),

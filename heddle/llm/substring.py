@@ -199,10 +199,10 @@ def repeats(docs: DataFrame, *, n_bands: int = BANDS, chunk: int = CHUNK) -> Dat
     """One row per repeated passage of a document: doc_id, start, end, cluster_id, first_doc_id, kept.
 
     ``start`` and ``end`` are word numbers (ASCII white space separates words),
-    end exclusive; overlapping and adjoining repeated paragraphs of a document
-    make one passage. ``cluster_id`` is its first paragraph's cluster,
-    ``first_doc_id`` the smallest id among that cluster's documents; ``kept``
-    marks passages none of whose paragraphs has an earlier occurrence. Only
+    end exclusive; repeated paragraphs of a document that start within REACH
+    words of each other make one passage. ``cluster_id`` is its first
+    paragraph's cluster, ``first_doc_id`` the smallest id in the clusters of its
+    paragraphs; ``kept`` marks passages without an earlier occurrence. Only
     passages that occur in two documents (ids) or more are listed; others,
     null and short texts and rows without an id give no row. Every passage of
     50 words or more that repeats exactly is found. Repeated rows with one id
@@ -228,11 +228,11 @@ def repeats(docs: DataFrame, *, n_bands: int = BANDS, chunk: int = CHUNK) -> Dat
     named = classes.select("kind", "root").join(clusters.select("root", "first_doc_id"), "root").select(F.col("kind").alias("n_kind"), "root", "first_doc_id")
     found = all_.select("doc_id", "at", "kind").join(named, F.col("kind") == F.col("n_kind")).select("doc_id", "at", "root", "first_doc_id")
 
-    # One passage for each run of paragraphs that overlap or adjoin.
+    # One passage for each run of paragraphs whose anchors are within reach of each other.
     by_place = Window.partitionBy("doc_id").orderBy("at", "root")
     seen = F.max("at").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    runs = found.withColumn("new", F.when(seen + PARAGRAPH >= F.col("at"), 0).otherwise(1))
+    runs = found.withColumn("new", F.when(seen + REACH >= F.col("at"), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     passages = runs.groupBy("doc_id", "run").agg(
-        F.min("at").alias("start"), (F.max("at") + PARAGRAPH).alias("end"), F.min_by("root", "at").alias("cluster_id"), F.min_by("first_doc_id", "at").alias("first_doc_id"), F.min("first_doc_id").alias("earliest"))
-    return passages.select("doc_id", "start", "end", "cluster_id", "first_doc_id", (F.col("earliest") == F.col("doc_id")).alias("kept"))
+        F.min("at").alias("start"), (F.max("at") + PARAGRAPH).alias("end"), F.min_by("root", "at").alias("cluster_id"), F.min("first_doc_id").alias("first_doc_id"))
+    return passages.select("doc_id", "start", "end", "cluster_id", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
