@@ -13,7 +13,7 @@ is a target exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOKENS = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -43,40 +43,34 @@ def windows(turns: DataFrame, *, budget: int = BUDGET, history_turns: int = HIST
     that alone exceeds the room left gets a window of its own, over budget: no
     turn is cut. Other columns are ignored; an empty table gives no rows.
     """
-    turn = F.struct(
-        F.col("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKENS)) + 4).alias("tokens"),
-    )
-    c = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tokens", (F.regexp_count("text", F.lit(TOKENS)) + 4).cast("long"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
+    c = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "before", "tokens"))).alias("turns"))
     c = c.withColumn("head", F.expr("if(turns[0].role = 'system', 1, 0)"))
     c = c.withColumn("room", F.expr(f"greatest(1, {budget} - if(head = 1, turns[0].tokens, 0) - {history_tokens})"))
-    # sums[i]: tokens of the turns before i
-    c = c.withColumn("sums", F.expr("aggregate(turns, array(0), (a, t) -> concat(a, array(a[size(a) - 1] + t.tokens)))"))
-    # A window starts at 0 and wherever the turns since the last start no longer fit. The system turn is no part of the sum.
-    c = c.withColumn("starts", F.expr("""
+    # A window starts at 0 and wherever the turns since the last start no longer fit. The system turn is no part of the sum, and no window is it alone.
+    c = c.withColumn("starts", F.expr(f"""
         aggregate(sequence(0, size(turns) - 1), array(0), (a, i) ->
           if(i > head and i > a[size(a) - 1]
-             and sums[i + 1] - sums[greatest(head, a[size(a) - 1])] > room + if(a[size(a) - 1] = 0, %d, 0)
-             and not (head = 1 and i = 1),
-             concat(a, array(i)), a))""" % history_tokens))
-    c = c.withColumn("spans", F.expr("transform(starts, (s, w) -> named_struct('from', s, 'until', if(w + 1 < size(starts), starts[w + 1], size(turns))))"))
-    w = c.select("conv_id", "turns", "head", "sums", F.posexplode("spans").alias("window", "span"))
-    back = f"""if(window = 0, array(), filter(sequence(head, span.from - 1),
-        i -> i >= span.from - {history_turns} and sums[span.from] - sums[i] <= {history_tokens}))"""
-    back = back.replace("sequence(head, span.from - 1)", "if(span.from > head, sequence(head, span.from - 1), cast(array() as array<int>))")
-    w = w.withColumn("past", F.expr(f"concat(if(window > 0 and head = 1, array(0), cast(array() as array<int>)), cast({back} as array<int>))"))
-    w = w.withColumn("repeated", F.size("past"))
-    w = w.withColumn("shown", F.expr("concat(past, sequence(span.from, span.until - 1))"))
-    w = w.withColumn("parts", F.transform("shown", lambda i: F.struct(
-        escaped(F.col("turns")[i]["role"]).alias("role"), escaped(F.col("turns")[i]["text"]).alias("text"), F.col("turns")[i]["role"].isin(*ROLES_TRAINED).alias("trained"), F.col("turns")[i]["tokens"].alias("tokens"))))
+             and turns[i].before + turns[i].tokens - turns[greatest(head, a[size(a) - 1])].before > room + if(a[size(a) - 1] = 0, {history_tokens}, 0),
+             concat(a, array(i)), a))"""))
+    c = c.withColumn("spans", F.expr(f"""
+        transform(starts, (s, w) -> named_struct('s', s, 'until', if(w + 1 < size(starts), starts[w + 1], size(turns)), 'again', if(w > 0, head, 0), 'past',
+          if(w = 0, 0, array_max(filter(sequence(0, least({history_turns}, s - head)), k -> turns[s].before - turns[s - k].before <= {history_tokens})))))"""))
+    shown = """transform(spans, x -> named_struct('repeated', x.again + x.past, 'turns',
+        concat(slice(turns, 1, x.again), slice(turns, x.s - x.past + 1, x.past + x.until - x.s))))"""
+    # The outer form keeps the planner from testing the array's size by computing it twice.
+    w = c.withColumn("shown", F.expr(shown)).select("conv_id", F.posexplode_outer("shown").alias("window", "w"))
+    w = w.select("conv_id", "window", "w.repeated", F.transform("w.turns", lambda t: F.struct(
+        escaped(t["role"]).alias("role"), escaped(t["text"]).alias("text"), t["role"].isin(*ROLES_TRAINED).alias("trained"), t["tokens"].alias("tokens"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(F.lit("<s>"), p["role"], F.lit("[INST]"), p["text"], F.lit("</s>"))), "")
     loss = """aggregate(sequence(0, size(parts) - 1), named_struct('at', 0, 'found', cast(array() as array<struct<from:int,until:int>>)), (a, i) -> named_struct(
           'at', a.at + 13 + char_length(parts[i].role) + char_length(parts[i].text),
           'found', if(i >= repeated and parts[i].trained, concat(a.found, array(named_struct(
             'from', a.at + 9 + char_length(parts[i].role), 'until', a.at + 9 + char_length(parts[i].role) + char_length(parts[i].text)))), a.found)), a -> a.found)"""
-    return w.select("conv_id", "window", text.alias("text"), F.expr(loss).alias("loss"), "repeated", F.expr("aggregate(parts, 0, (a, p) -> a + p.tokens)").alias("tokens"))
+    return w.select("conv_id", "window", text.alias("text"), F.expr(loss).alias("loss"), "repeated", F.expr("aggregate(parts, 0L, (a, p) -> a + p.tokens)").alias("tokens"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

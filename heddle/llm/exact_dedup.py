@@ -56,9 +56,10 @@ def directory(keys: DataFrame, key_bits: int = 64, capacity: int = CAPACITY) ->
     width = min(MAX_DEPTH, key_bits)
     levels = full.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("depth"))
     levels = levels.withColumn("bucket", F.expr(f"shiftrightunsigned(prefix, {width} - depth)"))
-    sizes = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
-    fits = levels.join(sizes, ["depth", "bucket"]).where((F.col("held") <= capacity) | (F.col("depth") == width))
-    return fits.groupBy("prefix").agg(F.min("depth").alias("depth")).withColumn("bucket", F.expr(f"shiftrightunsigned(prefix, {width} - depth)"))
+    # Buckets that are split again: fewer than 2**MAX_DEPTH, so they can be broadcast.
+    split = levels.where(F.col("depth") < width).groupBy("depth", "bucket").agg(F.sum("n").alias("held")).where(F.col("held") > capacity).select("depth", "bucket", F.lit(True).alias("split"))
+    found = levels.join(F.broadcast(split), ["depth", "bucket"], "left").groupBy("prefix").agg(F.coalesce(F.max(F.when(F.col("split"), F.col("depth"))) + 1, F.lit(0)).alias("depth"))
+    return found.withColumn("bucket", F.expr(f"shiftrightunsigned(prefix, {width} - depth)"))
 
 
 def _best() -> Column:
@@ -121,10 +122,10 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     The row that stays is the one that ``exact_groups`` names; columns and
     other rows are untouched. Repeated rows (same id, same text) count once.
     """
-    kept = stored(exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")), "exact-kept")
+    rows = stored(exact_groups(docs).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept"), "exact-kept")
     sha = F.unhex(F.sha2(squeezed(text_of("__d.text")).cast("binary"), 256))
-    out = docs.alias("__d").join(kept, F.col("__d.doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    if docs.count() == kept.count() or out.count() == kept.count():
+    out = docs.alias("__d").join(rows.where("kept"), F.col("__d.doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
+    if rows.groupBy("__id", "__sha").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return out
     # Rows that repeat an id with one text: the longest of each stays.
     order = Window.partitionBy("doc_id", "__sha").orderBy(F.char_length(text_of()).desc())
