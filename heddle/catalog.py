@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from heddle.functions import parse, pretty
 from heddle.operators.aggregates import money, top_per_group
 from heddle.operators.joins import asof, broadcast_if_small, in_range, salted
-from heddle.plans import placement
+from heddle.plans import business, placement
+from heddle.plans.ledger import Ledger
+from heddle.plans.placement import Node
 from heddle.sources import scan as scans
+from heddle.sources.registry import Registry
+from heddle.sources.sinks import stored_copy
 from heddle.streaming import health, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,6 +523,42 @@ def fn_pretty_bytes(t):
     return rows.select("i", pretty.bytes_(F.col("v")).alias("text"))
 
 
+@query("SELECT * FROM (VALUES (0, 1.5::DOUBLE), (1, -0.25), (2, 1200.0), (3, 'inf'::DOUBLE), (4, '-inf'::DOUBLE), (5, NULL), (6, 'inf'::DOUBLE)) AS v(i, value)")
+def fn_parse_float(t):
+    rows = t._spark.createDataFrame(list(enumerate([" 1.5", "-.25", "1.2e3", "INF", "-Infinity", "1.5x", "1e999"])), "i int, text string")
+    return rows.select("i", parse.to_float(F.col("text")).alias("value"))
+
+
+@query("SELECT * FROM (VALUES (0, 'true'), (1, 'false'), (2, NULL), (3, NULL), (4, NULL)) AS v(i, value)")
+def fn_parse_bool(t):
+    rows = t._spark.createDataFrame(list(enumerate([" TRUE\t", "False", "t", "1", ""])), "i int, text string")
+    return rows.select("i", pretty.boolean(parse.to_bool(F.col("text"))).alias("value"))
+
+
+@query("SELECT * FROM (VALUES (0, 255::BIGINT), (1, -18), (2, 0), (3, 18)) AS v(i, value)")
+def fn_parse_base(t):
+    rows = t._spark.createDataFrame(list(enumerate(["ff", " -12", "zz", "12g"])), "i int, text string")
+    return rows.select("i", parse.to_int_base(F.col("text"), 16).alias("value"))
+
+
+@query("SELECT * FROM (VALUES (0, '999', '999.000ns', '999ms'), (1, '1.50K', '1.500us', '1s500ms'), (2, '3.66M', '3.661ms', '1h1m')) AS v(i, amount, ns, ms)")
+def fn_pretty_units(t):
+    rows = t._spark.createDataFrame(list(enumerate([999, 1500, 3_661_000])), "i int, v long")
+    v = F.col("v")
+    return rows.select("i", pretty.unit(v).alias("amount"), pretty.nanoseconds(v).alias("ns"), pretty.milliseconds(v).alias("ms"))
+
+
+@query("SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS digits, regexp_replace(p_name, '[aeiou]', '_', 'g') AS masked, md5(p_name) AS m, sha256(p_brand) AS s FROM part")
+def fn_regex_hash(t):
+    return t.part.select("p_partkey", F.regexp_extract("p_brand", "([0-9]+)", 1).alias("digits"), F.regexp_replace("p_name", "[aeiou]", "_").alias("masked"), F.md5("p_name").alias("m"), F.sha2("p_brand", 256).alias("s"))
+
+
+@query("SELECT n_regionkey, map_extract_value(map_from_entries(list((n_nationkey, n_name))), n_regionkey) AS own, count(*) AS n FROM nation GROUP BY n_regionkey")
+def fn_map(t):
+    pairs = F.map_from_entries(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return t.nation.groupBy("n_regionkey").agg(pairs.alias("m"), F.count("*").alias("n")).select("n_regionkey", F.try_element_at("m", F.col("n_regionkey")).alias("own"), "n")
+
+
 # Event time, as batches
 
 
@@ -569,6 +609,96 @@ def udf_table(t):
     return t.sql("SELECT n_nationkey, word FROM {nation}, LATERAL heddle_words(n_name)", "nation")
 
 
+@query("SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS spread FROM customer GROUP BY c_mktsegment")
+def udaf_pandas(t):
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return v.max() - v.min()
+
+    return t.customer.groupBy("c_mktsegment").agg(spread("c_acctbal").alias("spread"))
+
+
+@query("SELECT r_regionkey, reverse(r_name) AS turned FROM region")
+def udf_scalar(t):
+    turned = F.udf(lambda s: s[::-1], "string", useArrow=True)
+    return t.region.select("r_regionkey", turned("r_name").alias("turned"))
+
+
+@query("SELECT user_id, count(*) AS n, sum(value::DECIMAL(18,6))::DOUBLE AS total FROM events GROUP BY user_id")
+def stream_run_totals(t):
+    """A real stream: the file is read as a source, its running totals are kept as state, and the last ones are returned."""
+    source = t._spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t._dir)
+    totals = source.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("total"))
+    return windows.finished(totals)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS w_start, time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 1 DAY AS w_end, count(*) AS n, sum(value::DECIMAL(18,6))::DOUBLE AS total FROM events GROUP BY ALL")
+def stream_run_windows(t):
+    source = t._spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t._dir)
+    return windows.finished(windows.tumbling(source, "ts", "1 day"))
+
+
+# Decision support
+
+
+for _name, _text in business.BUSINESS.items():
+    _sub(_name, _text, *business.tables_of(_text))
+
+
+# Datasets: plans, listings, sinks, cache accounting
+
+
+@query("SELECT 'lineitem.parquet' AS file, 'l_orderkey,l_tax' AS columns, 'struct<l_orderkey:bigint,l_tax:double>' AS projected_schema, true AS placed")
+def plan_partitions(t):
+    r = Registry(t._spark, [Node(u, b) for _, u, b in NODES])
+    r.register("lineitem", t.path("lineitem"))
+    p = r.plan("lineitem", "l_orderkey, l_tax")
+    return p.select(F.element_at(F.split("partition_id", "/"), -1).alias("file"), F.array_join("columns", ",").alias("columns"), "projected_schema", F.col("location").isNotNull().alias("placed"))
+
+
+@query("SELECT * FROM (VALUES ('nation', 'PARQUET', 1, true), ('region', 'PARQUET', 1, true)) AS v(name, format, n_files, sized)")
+def dataset_listing(t):
+    r = Registry(t._spark)
+    for name in ("region", "nation", "part"):
+        r.register(name, t.path(name))
+    return r.listed().where("name like '%ion'").select("name", "format", "n_files", (F.col("n_bytes") > 0).alias("sized"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def sink_orc_round_trip(t):
+    return stored_copy(t.supplier.select("s_suppkey", "s_name", "s_nationkey"), format="orc")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority = '2-HIGH'")
+def sink_partitioned(t):
+    rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return stored_copy(rows, partition_by=["o_orderpriority"]).where("o_orderpriority = '2-HIGH'")
+
+
+@query("SELECT 2 * count(*) AS n FROM customer")
+def sink_append(t):
+    return stored_copy(t.customer, t.customer).agg(F.count("*").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('a,b', '', 'a,b', 0, 0, 0), ('a,b', 'a,b', '', 50, 50, 50), ('b,c', 'b', 'c', 66, 66, 33), ('a', '', 'a', 75, 75, 25), ('c', 'c', '', 80, 80, 40)) AS v(request, hits, misses, dataset, partition, col)")
+def cache_ledger(t):
+    # Room for two columns: reading c lets a go, so a is missed again and lets b go.
+    ledger, rows = Ledger(capacity=1000), []
+    for request in ("a,b", "a,b", "b,c", "a", "c"):
+        hits, misses = ledger.scan("d", "p", request.split(","), lambda _: 400)
+        rates = ledger.metrics.rates()
+        rows.append((request, ",".join(hits), ",".join(misses), rates["dataset"], rates["partition"], rates["column"]))
+    return t._spark.createDataFrame(rows, "request string, hits string, misses string, dataset int, partition int, col int")
+
+
+@query("""WITH a AS (SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(max(ts))) // 1000 AS age FROM events GROUP BY user_id)
+SELECT user_id, age AS age_ms, CASE WHEN age > 43200000 THEN 'FAILED' WHEN age > 7200000 THEN 'SUSPECTED' ELSE 'OK' END AS state FROM a""")
+def health_timeouts(t):
+    age = F.expr("timestampdiff(MILLISECOND, last, timestamp_ntz'2024-01-31 00:00:00')")
+    last = t.events.groupBy("user_id").agg(F.max("ts").alias("last")).withColumn("age_ms", age)
+    return last.select("user_id", "age_ms", health.timed_out(F.col("age_ms"), 7_200_000, 43_200_000).alias("state"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem projected by a column string, then aggregated."""
     t = Tables(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +24,15 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors can reach, from ``spark.checkpoint.dir``.
+
+    Only where that is unset (a single machine) a temporary folder takes its place.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='heddle-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")

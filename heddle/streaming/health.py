@@ -38,20 +38,29 @@ def timed_out(age_ms: Column, suspect_ms: int, failed_ms: int) -> Column:
     return F.when(age_ms.isNull(), "UNKNOWN").when(age_ms > failed_ms, "FAILED").when(age_ms > suspect_ms, "SUSPECTED").otherwise("OK")
 
 
-def stream_states(beats: DataFrame, peer: str, timeout_ms: int = 3 * BEAT_MS) -> DataFrame:
-    """A stream of (peer, beats, state): OK at each batch with beats, FAILED once a peer is silent for ``timeout_ms``."""
+def stream_states(beats: DataFrame, peer: str, at: str, timeout_ms: int = 3 * BEAT_MS, late: str = "0 seconds") -> DataFrame:
+    """A stream of (peer, beats, state): OK at each batch with beats, FAILED once the event time has gone ``timeout_ms`` past a peer's last beat.
+
+    The watermark (``late`` behind the latest beat of any peer) is the clock, so
+    a replay of the log gives the same states. A failed peer's state is let go.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kind = beats.schema[peer].dataType.simpleString()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        n, last = held.get if held.exists else (0, 0)
         if held.hasTimedOut:
-            n, now = held.get[0], "FAILED"
+            now = "FAILED"
             held.remove()
         else:
-            n, now = (held.get[0] if held.exists else 0) + sum(map(len, batches)), "OK"
-            held.update((n,))
-            held.setTimeoutDuration(timeout_ms)
+            now = "OK"
+            for b in batches:
+                n, last = n + len(b), max(last, int(b["__ms"].max()))
+            held.update((n, last))
+            held.setTimeoutTimestamp(max(last + timeout_ms, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({peer: [key[0]], "beats": [n], "state": [now]})
 
-    return beats.groupBy(peer).applyInPandasWithState(step, f"{peer} {kind}, beats long, state string", "beats long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    clock = F.col(at).cast("timestamp")
+    rows = beats.select(peer, clock.alias("__at"), F.unix_millis(clock).alias("__ms")).withWatermark("__at", late)
+    return rows.groupBy(peer).applyInPandasWithState(step, f"{peer} {kind}, beats long, state string", "beats long, last long", "update", GroupStateTimeout.EventTimeTimeout)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import shared_dir
+
 
 def tumbling(events: DataFrame, at: str, size: str, *keys: str) -> DataFrame:
     return _counted(events.groupBy(F.window(at, size), *keys), keys)
@@ -35,3 +39,23 @@ def deduplicated(events: DataFrame, at: str, late: str, *keys: str) -> DataFrame
     if events.isStreaming:
         return events.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
     return events.dropDuplicates(list(keys))
+
+
+def finished(stream: DataFrame) -> DataFrame:
+    """The result table of a stream of updates once it has read what is there now.
+
+    Each trigger writes the whole result to a folder of its own in the shared
+    folder, where the stream's checkpoint lies too: a restarted driver goes on
+    from there, and no result passes through the driver.
+    """
+    base = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    last: list[str] = []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/result-{n}")
+        last[:] = [f"{base}/result-{n}"]
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)

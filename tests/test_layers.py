@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 from heddle.errors import DatasetError, NotSupported
 from heddle.functions import parse, pretty
 from heddle.operators.joins import asof, in_range, salted
+from heddle.plans import business
 from heddle.plans.ledger import ColumnCache, Ledger
 from heddle.plans.placement import Node, Ring, crc32, vnodes
 from heddle.sources import footers, scan
 from heddle.sources.registry import Registry
+from heddle.sources.sinks import stored_copy
 from heddle.streaming import health, windows
 
 
@@ -152,11 +154,38 @@ def test_parsers(spark):
     assert by["ff"].h == 255 and by["zz"].h == 0 and by["-12"].h == -18 and by["-12"].i == -12
 
 
-def test_pretty(spark):
-    df = spark.createDataFrame([(0,), (999,), (1000,), (3 * 10**9,)], "v long")
-    assert [r.u for r in df.select(pretty.unit(F.col("v")).alias("u")).collect()] == ["0", "999", "1.00 K", "3.00 B"]
-    t = spark.createDataFrame([(500,), (1500,), (2_500_000,), (3_661_000_000_000,), (61_000_000_000,), (1_005_000_000,)], "v long")
-    assert [r.u for r in t.select(pretty.nanoseconds(F.col("v")).alias("u")).collect()] == ["500ns", "1.500us", "2.500ms", "1h1m", "1m1s", "1s005ms"]
+#: Unit -> (number, its text).
+PRETTY = {
+    "unit": [(0, "0"), (1, "1"), (999, "999"), (1000, "1.00K"), (10**6, "1.00M"), (10**9, "1.00B"), (-5000, "-5000")],
+    "unit_fraction": [(1.2345678, "1.234568"), (1500.0, "1.50K")],
+    "unit_rate": [(0, "0"), (1, "1.00 /sec"), (1000, "1.00 K/sec"), (10**6, "1.00 M/sec"), (10**9, "1.00 B/sec"), (1.2345678, "1.23 /sec")],
+    "bytes": [(0, "0"), (1, "1.00 B"), (-2, "-2.00 B"), (1024, "1.00 KB"), (1536, "1.50 KB"), (1024**2, "1.00 MB"), (1024**3, "1.00 GB"), (-(1024**2), "-1.00 MB"), (1.2345678, "1.23 B")],
+    "byte_rate": [(0, "0.00 /sec"), (1, "1.00 B/sec"), (1024, "1.00 KB/sec"), (1024**2, "1.00 MB/sec"), (1024**3, "1.00 GB/sec"), (1536.0, "1.50 KB/sec")],
+    "s": [(0.00001, "0ms"), (0.021, "21ms"), (0.31, "310ms"), (1.5, "1s500ms"), (60, "1m"), (3600, "1h"), (86400, "24h"), (1000, "16m40s"), (1.5009, "1s500ms"), (12345, "3h25m"), (1234567.8989, "342h56m"), (123823456789, "34395404h39m")],
+    "ms": [(0, "0"), (0.1, "0ms"), (1, "1ms"), (123.4, "123ms"), (1234.9, "1s234ms"), (12345.6789, "12s345ms"), (1234567.89, "20m34s"), (123400, "2m3s"), (123456789, "34h17m"), (2147483647, "596h31m")],
+    "us": [(0.00001, "0.010ns"), (0.021, "21.000ns"), (1, "1000.000ns"), (123.4, "123.400us"), (1234.9, "1.234ms"), (1234567.89, "1s234ms"), (123400, "123.400ms"), (123456789, "2m3s"), (10**9, "16m40s")],
+    "ns": [(0.0001, "0.000ns"), (0.31, "0.310ns"), (1, "1.000ns"), (123.4, "123.400ns"), (1234.9, "1.234us"), (123400, "123.400us"), (123456789, "123.456ms"), (10**9, "1s000ms"), (12123456789.9, "12s123ms"), (123823456789.9, "2m3s")],
+    "ticks": [(1000, "1.00K clock cycles"), (1500, "1.50K clock cycles"), (4 * 10**9, "2s000ms")],
+    "double": [(1.0, "1.00 ")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(PRETTY))
+def test_pretty(spark, name):
+    show = {
+        "unit": pretty.unit, "unit_fraction": lambda v: pretty.unit(v, fraction=True), "unit_rate": lambda v: pretty.unit(v, True), "bytes": pretty.bytes_, "byte_rate": lambda v: pretty.bytes_(v, True),
+        "s": pretty.seconds, "ms": pretty.milliseconds, "us": pretty.microseconds, "ns": pretty.nanoseconds, "ticks": lambda v: pretty.ticks(v, 2 * 10**6), "double": pretty.double,
+    }[name]
+    for kind in (int, float):
+        rows = [(v, t) for v, t in PRETTY[name] if isinstance(v, kind)] + [(None, None)]
+        df = spark.createDataFrame(rows, f"v {'long' if kind is int else 'double'}, t string")
+        got = df.select("t", show(F.col("v")).alias("u")).collect()
+        assert [r.u for r in got] == [r.t for r in got]
+
+
+def test_pretty_lists(spark):
+    df = spark.sql("SELECT array(1L, 1000L, 1000000L) AS v, cast(array() AS array<bigint>) AS e, true AS b")
+    assert tuple(df.select(pretty.listed(F.col("v"), pretty.unit), pretty.listed(F.col("e")), pretty.boolean(F.col("b"))).first()) == ("[1, 1.00K, 1.00M]", "[]", "true")
 
 
 def test_states(spark):
@@ -173,7 +202,26 @@ def test_streams(spark, tmp_path):
     rows.write.mode("append").parquet(path)
     windows.new_files(spark, path, rows.schema, ck, out)
     assert spark.read.parquet(out).count() == 2
+    rows.selectExpr("2 AS k", "ts + INTERVAL 1 MINUTE AS ts", "value").write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).parquet(path)
-    q = health.stream_states(stream, "k").writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [tuple(r) for r in spark.sql("SELECT k, beats, state FROM states").collect()] == [(1, 2, "OK")]
+    q = health.stream_states(stream, "k", "ts").writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.sql("SELECT k, beats, state FROM states").collect()) == [(1, 2, "FAILED"), (1, 2, "OK"), (2, 1, "OK")]
+
+
+def test_finished_streams_of_nothing(spark, tmp_path):
+    rows = spark.sql("SELECT 1 AS k, timestamp_ntz'2024-01-01 00:00:00' AS ts, 1.0D AS value").where("k > 1")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    assert windows.finished(stream.groupBy("k").count()).count() == 0
+
+
+def test_sinks(spark):
+    one = spark.range(5).select("id", (F.col("id") % 2).alias("k"))
+    both = stored_copy(one, one, partition_by=["k"])
+    assert both.columns == ["id", "k"] and both.where("k = 1").count() == 4
+    assert stored_copy(one.limit(0), format="orc").count() == 0
+
+
+def test_business_queries_name_their_tables():
+    assert business.tables_of("SELECT 1 FROM {a}, {b} x, {a}") == ["a", "b"]
