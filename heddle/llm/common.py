@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heddle.session import shared_dir
+
 #: ASCII white space, the only separators that the corpus operators know.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can reach.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (single-machine tests) a temporary folder of this machine is taken.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='heddle-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
@@ -67,3 +55,15 @@ def n_words(text: Column) -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a document."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def sampled(docs: DataFrame, rows: int, salt: int = 0) -> DataFrame:
+    """About ``rows`` rows of ``docs`` that have a ``doc_id``, drawn by a hash of it; all rows where there are no more.
+
+    Each task picks its own rows, so nothing gathers in one; reruns draw the same ids.
+    """
+    n = docs.count()
+    if n <= rows:
+        return docs
+    chance = F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 40)) < int(rows / n * (1 << 40))
+    return docs.where(F.col("doc_id").isNotNull() & chance)

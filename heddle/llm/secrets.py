@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import text_of
+from heddle.llm.common import sampled, text_of
 
 #: kind -> (pattern, the part whose length counts, least length). In the order in which spans of one start are listed.
 BASE = {
@@ -29,7 +29,7 @@ LEAST = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Hundredths of a nat: a run is random from this ratio in all, and from this ratio for each pair.
 LEAST_TOTAL, LEAST_PAIR = 800, 40
-#: Most documents whose words stand for ordinary identifiers, and the number of random strings of each form.
+#: About how many documents have their words stand for ordinary identifiers, and the number of random strings of each form.
 SAMPLE_ROWS, RANDOM_STRINGS = 1000, 2000
 #: Words of ordinary identifiers: what the models know where the documents hold few.
 ORDINARY = """account action active address agent alias amount append archive array article asset async attribute author backup balance batch block body buffer build
@@ -88,22 +88,26 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_RO
 
     Random strings are digests written in hexadecimal and base 64, whole and in
     capitals. Ordinary identifiers are ORDINARY words in a hashed order and
-    words of at most ``rows`` documents, alone and joined as people join them.
+    words of about ``rows`` documents, alone and joined as people join them,
+    plus numbers and runs of one character, which fill places in examples.
     """
     ids = spark.range(RANDOM_STRINGS).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
     b64 = F.regexp_replace(F.base64(F.unhex("h")), "=", "")
     random = ids.select(F.explode(F.array(F.substring("h", 1, 40), b64, F.upper(b64), F.regexp_replace(b64, "[+/]", ""))).alias("token"))
-    words = F.filter(F.split(F.regexp_replace(text_of(), r"[^A-Za-z]+", " "), " "), lambda w: F.char_length(w) >= 2)
+    # Cases mixed inside a word and long words are what secrets look like: those don't teach the ordinary model.
+    words = F.filter(F.split(F.regexp_replace(text_of(), r"[^A-Za-z]+", " "), " "), lambda w: w.rlike("^([A-Z]?[a-z]{2,11}|[A-Z]{3,12})$"))
     listed_words = F.split(F.lit(" ".join(ORDINARY)), " ")
     shuffled = spark.range(20).select("id", listed_words.alias("l")).select(F.expr("transform(array_sort(transform(l, x -> struct(xxhash64(id, x) as h, x as x))), s -> s.x)").alias("w"))
-    ordinary = docs.select("text").limit(rows).select(words.alias("w")).where("size(w) > 3").unionByName(shuffled)
+    ordinary = sampled(docs.select("doc_id", "text"), rows).select(words.alias("w")).where("size(w) > 3").unionByName(shuffled)
     joined = """flatten(transform(sequence(0, size(w) - 4, 4), i -> array(
         w[i], concat(w[i], w[i + 1]), concat(lower(w[i]), '_', lower(w[i + 1]), '_', lower(w[i + 2])), concat(upper(w[i]), '_', upper(w[i + 1])),
         concat(w[i], '-', w[i + 1], '-', cast(pmod(hash(w[i]), 2030) as string)), concat('/', w[i], '/', w[i + 1], '/', w[i + 2]),
         concat(w[i], initcap(w[i + 1]), initcap(w[i + 3])), cast(pmod(xxhash64(w[i], w[i + 1]), 10000) as string), repeat(substr('-_=+/', pmod(hash(w[i + 2]), 5) + 1, 1), 20))))"""
     ordinary = ordinary.select(F.explode(F.expr(joined)).alias("token"))
     digits = spark.range(RANDOM_STRINGS).select(F.substring(F.regexp_replace(F.sha2(F.concat(F.lit("n"), "id").cast("binary"), 256), "[a-f]", ""), 1, 16).alias("token"))
-    return random.select("token", F.lit(1).alias("label")).unionByName(ordinary.unionByName(digits).select("token", F.lit(0).alias("label")))
+    digits = digits.select(F.explode(F.array("token", F.regexp_replace("token", "([0-9]{2})", "$1-"))).alias("token"))
+    fillers = spark.range(1).select(F.explode(F.split(F.lit(ALPHABET), "")).alias("x")).where("x <> ''").select(F.expr("repeat(x, 200)").alias("token"))
+    return random.select("token", F.lit(1).alias("label")).unionByName(ordinary.unionByName(digits).unionByName(fillers).select("token", F.lit(0).alias("label")))
 
 
 def train(samples: DataFrame) -> list[int]:
