@@ -11,11 +11,12 @@ The index is built like an extendible hash file:
 * rows are counted per entry before they move; owner tasks then take disjoint
   ranges of (bucket, key), chain the entries of one key, and write the index
   to the shared folder;
-* entries with more than one row have their *bytes* compared. Where different
-  bytes share an entry, the chain is resolved by the bytes themselves.
+* every entry has the *bytes* of its rows compared: it holds one text where the
+  least and the greatest are equal. Where different bytes share an entry, the
+  chain is resolved by the bytes themselves.
 
 A group of copies is one index entry, so a group with a third of all rows moves
-as one pre-aggregated row from each task.
+as one pre-aggregated row from each task, in the index and in the comparison.
 """
 
 from __future__ import annotations
@@ -91,10 +92,9 @@ def exact_groups(docs: DataFrame, *, key_bits: int = 64, digest_bytes: int = 32,
     )
     index = stored(index, "exact-index")
 
-    # The bytes of every entry with company: one row for each task and text.
-    shared = index.where("group_size > 1").select("key", "digest")
-    seen = keyed.join(shared, ["key", "digest"], "left_semi").groupBy("key", "digest", "bare").agg(F.count("*").alias("n"))
-    chains = seen.groupBy("key", "digest").agg(F.count("*").alias("texts")).where("texts > 1").select("key", "digest")
+    # Bytes are compared inside each task first: of one text a task sends one row, however many copies it holds.
+    compared = keyed.groupBy("key", "digest").agg(F.min("bare").alias("low"), F.max("bare").alias("high"))
+    chains = compared.where("low <> high").select("key", "digest")
     chains = stored(chains, "exact-chains")
 
     found = index.select("key", "digest", "best", "group_size")
