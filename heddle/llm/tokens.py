@@ -13,8 +13,8 @@ import struct
 
 from tokenizers import Tokenizer
 
-#: Entries of each cache before it is started anew: at about 0.5 kB each, what a worker holds besides the vocabulary.
-CACHED = 100_000
+#: Entries of the caches of words and of chunks before each is started anew: at about 0.5 kB each, what a worker holds besides the vocabulary.
+WORDS_CACHED, CHUNKS_CACHED = 100_000, 300_000
 
 _SAFE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
@@ -28,12 +28,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= CACHED:
+        if len(self) >= self.most:
             self.clear()
         self[key] = value = self.make(key)
         return value
@@ -46,8 +46,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words = _Cache(self._word)
-        self.chunks = _Cache(self._chunk)
+        self.words = _Cache(self._word, WORDS_CACHED)
+        self.chunks = _Cache(self._chunk, CHUNKS_CACHED)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
