@@ -1,22 +1,27 @@
-"""Substring de-duplication: passages that repeat across documents, by paragraph MinHash banding.
-
-A repeated passage needn't begin or end at a line, so *paragraphs* are taken
-from the running words: PARAGRAPH words from every anchor. Anchors are the
-minima of a hash of five-word shingles in any REACH consecutive places
-(winnowing). They depend on the words alone, and every passage of
-PARAGRAPH + REACH - 1 = 50 words holds at least one anchor with its whole
-paragraph, the same one wherever the passage stands.
-
-Paragraphs get MinHash signatures of their shingles, cut into bands. Keys that
-occur in one document only are dropped after a map-side combined count. Equal
-paragraphs are one class from the start; different classes that collide have
-their exact Jaccard similarity verified, in bounded units. Classes that are
-similar form components, and of each component all occurrences but the first
-are removals.
+"""Substring de-duplication: passages that repeat across documents, by shared seeds and verified alignments.
+
+A repeated passage needn't begin or end at a line, so *seeds* are taken from
+the running words: SEED words from every anchor. Anchors are the minima of a
+hash of five-word shingles in any REACH consecutive places (winnowing). They
+depend on the words alone, and every SEED + REACH - 1 = 24 words hold at least
+one anchor with its whole seed, the same one wherever the words stand.
+
+Two passages of 50 words or more with a Jaccard similarity of SIMILARITY or more
+of their shingles, one made from the other by changing, adding or dropping
+words, have 24 unchanged words in a row: each edit costs four shingles or more
+on a side, and too few may be lost for edits to be everywhere. So they share a
+seed, for certain. (MinHash bands of the seeds would find less.)
+
+Seeds that occur in one document only are dropped after a map-side combined
+count. The others are aligned with the first document that holds them: seeds
+that follow each other at one distance are a run, runs are extended word by
+word over the text around them, through edits as long as the similarity of the
+whole is SIMILARITY or more, and what has PARAGRAPH words then is a passage.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,28 +32,18 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import stored, text_of
 from heddle.llm.components import components
-from heddle.llm.units import CHUNK, dealt, forest, groups
+from heddle.llm.units import CHUNK
 
 SHINGLE, SIMILARITY = 5, 0.8
-PARAGRAPH, REACH = 20, 31
-SHINGLES = PARAGRAPH - SHINGLE + 1
+#: The fewest words of a passage, the words of a seed, and the places of which one is an anchor.
+PARAGRAPH, SEED, REACH = 20, 12, 13
+SHINGLES = SEED - SHINGLE + 1
+#: Words on each side of a run that it may extend over: 50 more without a seed are under SIMILARITY by themselves.
+CONTEXT = 50
 CACHED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def bands(similarity: float = SIMILARITY, recall: float = 0.98, paragraphs: int = 2, rows: int = 2) -> int:
-    """The fewest bands of ``rows`` MinHashes that find a repeated passage with this chance, which has ``paragraphs`` chances at least."""
-    missed = 1 - similarity**rows
-    n = 1
-    while 1 - missed ** (n * paragraphs) < recall:
-        n += 1
-    return n
-
-
-ROWS = 2
-BANDS = bands()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _ODD[4]
     x = (x ^ (x >> np.uint64(29))) * _ODD[5]
@@ -82,7 +77,7 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def anchors(shingles: np.ndarray) -> np.ndarray:
-    """Where paragraphs start, given the shingles of a text of at least PARAGRAPH words."""
+    """Where seeds start, given the shingles of a text of at least PARAGRAPH words."""
     order = _mix(shingles[: len(shingles) - SHINGLES + 1] * _ODD[6])
     if len(order) <= REACH:
         return np.array([int(order.argmin())])
@@ -92,7 +87,7 @@ def anchors(shingles: np.ndarray) -> np.ndarray:
 
 
 def paragraphs_of(text: bytes, words: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(start word, shingles of each paragraph, class) of a text; None if it has under PARAGRAPH words."""
+    """(start word, shingles of each seed, class) of a text; None if it has under PARAGRAPH words."""
     cut = text.lower().split()
     if len(cut) < PARAGRAPH:
         return None
@@ -100,33 +95,22 @@ def paragraphs_of(text: bytes, words: dict) -> tuple[np.ndarray, np.ndarray, np.
     shingles = shingles_of(hashes)
     at = anchors(shingles)
     own = shingles[at[:, None] + np.arange(SHINGLES)]
-    kind = _mix((own[:, ::SHINGLE] * _ODD[: own[:, ::SHINGLE].shape[1]]).sum(axis=1, dtype=np.uint64))
+    told = own[:, [*range(0, SHINGLES - 1, SHINGLE), SHINGLES - 1]]  # every word is in one of these
+    kind = _mix((told * _ODD[: told.shape[1]]).sum(axis=1, dtype=np.uint64))
     if len(at) > 1 and len(np.unique(kind)) < len(kind):
-        # In a loop of few words anchors may follow each other: of equal paragraphs that overlap, the first.
+        # In a loop of few words anchors may follow each other: of equal seeds that overlap, the first.
         last: dict[int, int] = {}
         keep = []
         for i, (p, k) in enumerate(zip(at.tolist(), kind.tolist())):
-            if p - last.get(k, -PARAGRAPH) >= PARAGRAPH:
+            if p - last.get(k, -SEED) >= SEED:
                 last[k] = p
                 keep.append(i)
         at, own, kind = at[keep], own[keep], kind[keep]
     return at, own, kind
 
 
-def band_keys(own: np.ndarray, n_bands: int = BANDS) -> list[np.ndarray]:
-    keys = []
-    for b in range(n_bands):
-        key = np.full(len(own), b, np.uint64)
-        for r in range(ROWS):
-            # a product and a shift give another order of the shingles for each MinHash
-            x = own * np.uint64((int(_ODD[7]) + 2 * (b * ROWS + r + 1) * int(_ODD[1])) % 2**64)
-            key = _mix(key * _ODD[2] + (x ^ (x >> np.uint64(31))).min(axis=1))
-        keys.append(key)
-    return keys
-
-
-def paragraphs(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
-    """(doc_id, at, kind, keys): the paragraphs of whole texts, their class and band keys."""
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, kind, first): the seeds of whole texts, their class, and whether the text has the class there first."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -135,104 +119,205 @@ def paragraphs(docs: DataFrame, n_bands: int = BANDS) -> DataFrame:
             for i, text in enumerate(b.column(1).to_pylist()):
                 found = paragraphs_of(text.encode(), words)
                 if found is not None:
-                    which.append(np.full(len(found[0]), i))
-                    cols.append((found[0], found[2], np.stack(band_keys(found[1], n_bands), axis=1)))
+                    at, _, kind = found
+                    first = np.zeros(len(kind), bool)
+                    first[np.unique(kind, return_index=True)[1]] = True
+                    which.append(np.full(len(at), i))
+                    cols.append((at, kind, first))
             if not cols:
                 continue
-            at, kind, keys = (np.concatenate(c) for c in zip(*cols))
-            ends = pa.array(np.arange(0, keys.size + 1, n_bands, dtype=np.int32))
+            at, kind, first = (np.concatenate(c) for c in zip(*cols))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.concatenate(which))), pa.array(at.astype(np.int32)), pa.array(kind.view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))],
-                names=["doc_id", "at", "kind", "keys"],
-            )
+                [b.column(0).take(pa.array(np.concatenate(which))), pa.array(at.astype(np.int32)), pa.array(kind.view(np.int64)), pa.array(first)], names=["doc_id", "at", "kind", "first"])
 
     rows = docs.where("doc_id is not null").select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at int, kind long, keys array<long>")
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at int, kind long, first boolean")
 
 
-def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(kind, shingles) for ``wanted`` (kind, doc_id, at): sorted distinct shingles of the paragraph."""
-    places = wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("at", "kind")).alias("places"))  # at most the paragraphs of one text
+def _contexts(docs: DataFrame, wanted: DataFrame, chunk: int) -> DataFrame:
+    """(id, lo, hi, left, right) for ``wanted`` (id, lo, hi): the CONTEXT words before and after, one blank between words."""
+    places = wanted.distinct().groupBy(F.col("id").alias("w_id"), F.floor(F.col("lo") / chunk)).agg(F.collect_list(F.struct("lo", "hi")).alias("places"))  # of ``chunk`` words of one text
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for b in batches:
-            kinds, sets = [], []
-            for text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            which, los, his, lefts, rights = [], [], [], [], []
+            for i, (text, places) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 cut = text.encode().lower().split()
-                hashes = np.fromiter(map(words.__getitem__, cut), np.uint64, len(cut))
-                if len(cut) < PARAGRAPH:
-                    continue
-                shingles = shingles_of(hashes)
                 for p in places:
-                    if p["at"] + SHINGLES <= len(shingles):
-                        kinds.append(p["kind"])
-                        sets.append(np.unique(shingles[p["at"] : p["at"] + SHINGLES]).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["kind", "shingles"])
-
-    rows = docs.join(places, F.col("doc_id") == F.col("w_id")).select(text_of().alias("text"), "places")
-    return rows.mapInArrow(of, "kind long, shingles array<long>").dropDuplicates(["kind"])
-
-
-def _similar_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the classes of each unit with a Jaccard similarity of SIMILARITY or more."""
-    for _, (kind, sets) in groups(batches, 3):
-        kinds = kind.to_numpy(zero_copy_only=False)
-        sizes = sets.value_lengths().to_numpy(zero_copy_only=False)
-        # Rows of equal width: places without a shingle never count as shared.
-        table = np.zeros((len(kinds), SHINGLES), np.int64)
-        there = np.arange(SHINGLES) < sizes[:, None]
-        table[there] = sets.flatten().to_numpy(zero_copy_only=False)
+                    lo, hi = p["lo"], p["hi"]
+                    if hi <= len(cut):
+                        which.append(i)
+                        los.append(lo)
+                        his.append(hi)
+                        lefts.append(b" ".join(cut[max(0, lo - CONTEXT) : lo]))
+                        rights.append(b" ".join(cut[hi : hi + CONTEXT]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(which, pa.int64())), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())], names=["id", "lo", "hi", "left", "right"])
 
-        def linked(i: int, others: np.ndarray) -> np.ndarray:
-            own = table[i][: sizes[i]]  # noqa: B023
-            shared = (np.isin(table[others], own) & there[others]).sum(axis=1)  # noqa: B023
-            return np.flatnonzero(shared >= SIMILARITY * (sizes[i] + sizes[others] - shared) - 1e-9)  # noqa: B023
+    rows = docs.join(places, F.col("doc_id") == F.col("w_id")).select("doc_id", text_of().alias("text"), "places")
+    found = rows.mapInArrow(of, f"id {rows.schema['doc_id'].dataType.simpleString()}, lo int, hi int, left binary, right binary")
+    return found.dropDuplicates(["id", "lo", "hi"])
 
-        found = forest(len(kinds), linked)
-        if found:
-            ends = kinds[np.array(found)]
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
+def steps(a: list[bytes], b: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """How far two texts agree: (words of a, words of b, shingles shared, shingles lost) up to each edit.
 
-def repeats(docs: DataFrame, *, n_bands: int = BANDS, chunk: int = CHUNK) -> DataFrame:
+    Both go on from words they share, so each equal word is one more shared
+    shingle. Behind an edit the texts meet again where five words are equal.
+    """
+    x, most = 0, min(len(a), len(b))
+    while x < most and a[x] == b[x]:
+        x += 1
+    y = shared = x
+    lost = 0
+    found = [(x, y, shared, lost)]
+    if x == most:
+        return found
+    places: dict[tuple, list[int]] = {}
+    for j in range(y, len(b) - SHINGLE + 1):
+        places.setdefault(tuple(b[j : j + SHINGLE]), []).append(j)
+    while True:
+        best = None
+        for i in range(x, len(a) - SHINGLE + 1):
+            if best and i - x >= best[0]:
+                break
+            j = next((j for j in places.get(tuple(a[i : i + SHINGLE]), ()) if j >= y), None)
+            if j is not None and (best is None or i - x + j - y < best[0]):
+                best = i - x + j - y, i, j
+        if best is None:
+            return found
+        lost += best[0] + 2 * (SHINGLE - 1)
+        x, y = best[1:]
+        run = 0
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            x, y, run = x + 1, y + 1, run + 1
+        shared += run - SHINGLE + 1
+        found.append((x, y, shared, lost))
+
+
+def extended(words: int, left: list[tuple], right: list[tuple]) -> tuple[tuple, tuple]:
+    """The steps to the left and right that add most to a run of ``words`` equal words at SIMILARITY or more."""
+    core = words - SHINGLE + 1
+    return max(
+        ((p, q) for p in left for q in right if core + p[2] + q[2] >= SIMILARITY * (core + p[2] + q[2] + p[3] + q[3]) - 1e-9),
+        key=lambda pq: (pq[0][2] + pq[1][2], -pq[0][3] - pq[1][3]),
+    )
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (doc_id, first_id, lo, hi, shift) with both contexts, extended: (doc_id, first_id, lo, hi, f_lo, f_hi)."""
+    for b in batches:
+        keep, cols = [], []
+        for i, (lo, hi, shift, *around) in enumerate(zip(*[b.column(c).to_pylist() for c in range(2, 9)])):
+            left, right, f_left, f_right = (x.split() for x in around)
+            p, q = extended(hi - lo, steps(left[::-1], f_left[::-1]), steps(right, f_right))
+            own = lo - p[0], hi + q[0], lo - shift - p[1], hi - shift + q[1]
+            if min(own[1] - own[0], own[3] - own[2]) >= PARAGRAPH:
+                keep.append(i)
+                cols.append(own)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(at), b.column(1).take(at), *[pa.array([c[k] for c in cols], pa.int32()) for k in range(4)]], names=["doc_id", "first_id", "lo", "hi", "f_lo", "f_hi"])
+
+
+def merged(spans: list[tuple]) -> list[list]:
+    """Spans that overlap as one, with the least of what follows (start, end)."""
+    found: list[list] = []
+    for lo, hi, *rest in sorted(spans):
+        if found and lo < found[-1][1]:
+            found[-1][1] = max(found[-1][1], hi)
+            found[-1][2:] = min(found[-1][2:], rest)
+        else:
+            found.append([lo, hi, *rest])
+    return found
+
+
+def without(spans: list[list], gone: list[list]) -> list[tuple[int, int]]:
+    """The parts of ``spans`` that lie between the spans of ``gone``, if of PARAGRAPH words or more."""
+    found, g = [], 0
+    for lo, hi in spans:
+        while g < len(gone) and gone[g][1] <= lo:
+            g += 1
+        k = g
+        while k < len(gone) and gone[k][0] < hi:
+            found.append((lo, gone[k][0]))
+            lo = max(lo, gone[k][1])
+            k += 1
+        found.append((lo, hi))
+    return [(lo, hi) for lo, hi in found if hi - lo >= PARAGRAPH]
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages (start, end, kept, first_id, f_lo, f_hi) of each document, and ``start`` of the passage of each span (f_lo, f_hi) that others are aligned with (kept null)."""
+    for b in batches:
+        which, cols = [], []
+        for i, spans in enumerate(b.column(1).to_pylist()):
+            gone = merged([(s["lo"], s["hi"], s["first_id"], s["f_lo"], s["f_hi"]) for s in spans if s["first_id"] is not None])
+            first = sorted({(s["lo"], s["hi"]) for s in spans if s["first_id"] is None})
+            rows = sorted([(lo, hi, False, *rest) for lo, hi, *rest in gone] + [(lo, hi, True, None, None, None) for lo, hi in without(merged(first), gone)], key=lambda r: r[0])
+            starts = [r[0] for r in rows]
+            told = []
+            for lo, hi in first:
+                near = rows[max(0, bisect_right(starts, lo) - 1) : bisect_left(starts, hi)]
+                start, end = max(near, key=lambda r: min(hi, r[1]) - max(lo, r[0]))[:2]
+                told.append((start, end, None, None, lo, hi))
+            which += [i] * (len(rows) + len(told))
+            cols += rows + told
+        types = pa.int32(), pa.int32(), pa.bool_(), b.column(0).type, pa.int32(), pa.int32()
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(which, pa.int64())), *[pa.array([c[k] for c in cols], t) for k, t in enumerate(types)]], names=["doc_id", "start", "end", "kept", "first_id", "f_lo", "f_hi"])
+
+
+def repeats(docs: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     """One row per repeated passage of a document: doc_id, start, end, cluster_id, first_doc_id, kept.
 
     ``start`` and ``end`` are word numbers (ASCII white space separates words),
-    end exclusive; repeated paragraphs of a document that start within REACH
-    words of each other make one passage. ``cluster_id`` is its first
-    paragraph's cluster, ``first_doc_id`` the smallest id in the clusters of its
-    paragraphs; ``kept`` marks passages without an earlier occurrence. Only
+    end exclusive. A passage not ``kept`` is one that an earlier document
+    (smaller id) has, word by word or at a similarity of SIMILARITY or more; a
+    ``kept`` one has no earlier occurrence, and a document's passages don't
+    overlap, so each removed word (or edit inside a similar passage) has its
+    counterpart in an earlier document and one copy of everything stays. Alignments that overlap make one passage.
+    Passages that were aligned are a cluster, ``cluster_id``, whose smallest id
+    is ``first_doc_id``. Passages have PARAGRAPH words or more and end where
+    words differ, or up to four words before the edge behind a last edit. Only
     passages that occur in two documents (ids) or more are listed; others,
-    null and short texts and rows without an id give no row. Every passage of
-    50 words or more that repeats exactly is found. Repeated rows with one id
-    are one document; an empty table gives no rows; other columns are ignored.
+    null and short texts and rows without an id give no row. Repeated rows with
+    one id are one document; an empty table gives no rows; other columns are
+    ignored. ``chunk`` bounds the words whose contexts are fetched at once.
     """
-    all_ = stored(paragraphs(docs, n_bands), "paragraphs")
-    keyed = all_.select(F.explode("keys").alias("key"), "kind", "doc_id", "at")
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min("kind").alias("k1"), F.max("kind").alias("k2"))
-    shared = stored(shared.where("d1 <> d2").select(F.col("key").alias("s_key"), (F.col("k1") != F.col("k2")).alias("mixed")), "paragraph-keys")
-    met = keyed.join(shared, F.col("key") == F.col("s_key")).groupBy("key", "mixed", "kind").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.min_by("at", "doc_id").alias("at"))
-    met = stored(met, "paragraph-classes")
-
-    mixed = met.where("mixed").select("key", "kind", "first_id", "at")
-    wanted = mixed.groupBy("kind").agg(F.min("first_id").alias("doc_id"), F.min_by("at", "first_id").alias("at"))
-    sets = stored(_shingles(docs, wanted), "paragraph-shingles")
-    compared = dealt(mixed.select("key", "kind").join(sets, "kind").select("key", "kind", "shingles"), ["key"], "kind", chunk)
-    links = stored(compared.mapInArrow(_similar_units, "a long, b long"), "paragraph-links")
-    roots = components(links)
-
-    classes = met.groupBy("kind").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
-    classes = classes.join(roots, F.col("kind") == F.col("node"), "left").select("kind", F.coalesce("root", "kind").alias("root"), "first_id", "last_id")
-    clusters = classes.groupBy("root").agg(F.min("first_id").alias("first_doc_id"), F.max("last_id").alias("last_id")).where("first_doc_id <> last_id")
-    named = classes.select("kind", "root").join(clusters.select("root", "first_doc_id"), "root").select(F.col("kind").alias("n_kind"), "root", "first_doc_id")
-    found = all_.select("doc_id", "at", "kind").join(named, F.col("kind") == F.col("n_kind")).select("doc_id", "at", "root", "first_doc_id")
-
-    # One passage for each run of paragraphs whose anchors are within reach of each other.
-    by_place = Window.partitionBy("doc_id").orderBy("at", "root")
-    seen = F.max("at").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    runs = found.withColumn("new", F.when(seen + REACH >= F.col("at"), 0).otherwise(1))
+    all_ = stored(paragraphs(docs), "paragraphs")
+    shared = all_.where("first").groupBy("kind").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.min_by("at", "doc_id").alias("first_at"))
+    shared = stored(shared.where("first_id <> last_id").select(F.col("kind").alias("s_kind"), "first_id", "first_at"), "paragraph-classes")
+    met = all_.join(shared, F.col("kind") == F.col("s_kind")).select("doc_id", "at", "first_id", (F.col("at") - F.col("first_at")).alias("shift"))
+
+    # One run for seeds of a document that stand at one distance from those of the first document and leave no word between them.
+    by_place = Window.partitionBy("doc_id", "first_id", "shift").orderBy("at")
+    runs = met.where("doc_id <> first_id or shift <> 0").withColumn("new", F.when(F.lag("at").over(by_place) + SEED >= F.col("at"), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    passages = runs.groupBy("doc_id", "run").agg(
-        F.min("at").alias("start"), (F.max("at") + PARAGRAPH).alias("end"), F.min_by("root", "at").alias("cluster_id"), F.min("first_doc_id").alias("first_doc_id"))
-    return passages.select("doc_id", "start", "end", "cluster_id", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
+    runs = stored(runs.groupBy("doc_id", "first_id", "shift", "run").agg(F.min("at").alias("lo"), (F.max("at") + SEED).alias("hi")).drop("run"), "paragraph-runs")
+
+    wanted = runs.select(F.col("doc_id").alias("id"), "lo", "hi").union(runs.select("first_id", F.col("lo") - F.col("shift"), F.col("hi") - F.col("shift")))
+    around = stored(_contexts(docs, wanted, chunk), "paragraph-contexts")
+    own = around.select(F.col("id").alias("doc_id"), "lo", "hi", "left", "right")
+    first = around.select(F.col("id").alias("first_id"), F.col("lo").alias("f_lo"), F.col("hi").alias("f_hi"), F.col("left").alias("f_left"), F.col("right").alias("f_right"))
+    both = runs.withColumns({"f_lo": F.col("lo") - F.col("shift"), "f_hi": F.col("hi") - F.col("shift")}).join(own, ["doc_id", "lo", "hi"]).join(first, ["first_id", "f_lo", "f_hi"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    both = both.select("doc_id", "first_id", "lo", "hi", "shift", "left", "right", "f_left", "f_right")
+    aligned = stored(both.mapInArrow(_aligned, f"doc_id {kind}, first_id {kind}, lo int, hi int, f_lo int, f_hi int"), "paragraph-alignments")
+
+    # What has no first_id is kept: it is, or stands in, the first document.
+    none, away = F.lit(None), F.col("doc_id") != F.col("first_id")
+    spans = aligned.select("doc_id", "lo", "hi", *[F.when(away, F.col(c)).alias(c) for c in ("first_id", "f_lo", "f_hi")])
+    spans = spans.union(aligned.where(away).select("first_id", "f_lo", "f_hi").distinct().select("*", none.cast(kind), none.cast("int"), none.cast("int")))
+    per = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "first_id", "f_lo", "f_hi")).alias("spans"))  # at most the runs of one text
+    found = stored(per.mapInArrow(_passages, f"doc_id {kind}, start int, end int, kept boolean, first_id {kind}, f_lo int, f_hi int"), "passages")
+
+    # Each passage that isn't kept points to one of an earlier document.
+    named = found.withColumn("node", F.xxhash64("doc_id", "start"))
+    passages = named.where("kept is not null")
+    told = named.where("kept is null").select(F.col("doc_id").alias("first_id"), "f_lo", "f_hi", F.col("node").alias("b"))
+    roots = components(passages.where("not kept").join(told, ["first_id", "f_lo", "f_hi"]).select(F.col("node").alias("a"), "b"))
+    rooted = passages.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").withColumn("cluster_id", F.coalesce("root", "node"))
+    rooted = rooted.select("doc_id", "start", "end", "cluster_id", "kept")
+    firsts = rooted.groupBy("cluster_id").agg(F.min("doc_id").alias("first_doc_id"))
+    return rooted.join(firsts, "cluster_id").select("doc_id", "start", "end", "cluster_id", "first_doc_id", "kept")

@@ -334,6 +334,37 @@ def test_every_passage_of_fifty_words_has_a_common_paragraph():
         assert kinds[0] & kinds[1]
 
 
+def edited(rng, passage, n):
+    """``passage`` with ``n`` words changed, added or dropped, evenly spread; and the Jaccard similarity of the shingles."""
+    out = list(passage)
+    for k in range(n, 0, -1):
+        at, how = len(passage) * k // (n + 1), rng.randrange(3)
+        out[at : at + (how < 2)] = [f"edit{rng.randrange(10**9)}"] * (how > 0)
+    a, b = ({tuple(x[i : i + substring.SHINGLE]) for i in range(len(x) - substring.SHINGLE + 1)} for x in (passage, out))
+    return out, len(a & b) / len(a | b)
+
+
+def test_near_copies_of_passages_are_found(spark):
+    rng = random.Random(21)
+    rows, spans = [], {}
+    for n in (50, 60, 90, 120, 200, 400):
+        done = 0
+        while done < 12:
+            passage = words(rng, n, 60_000).split()
+            other, similarity = edited(rng, passage, rng.randrange(1, 1 + n // 47))
+            if similarity < substring.SIMILARITY or len(other) < 50:
+                continue
+            done += 1
+            for version in (passage, other):
+                before = words(rng, rng.randrange(1, 150), 60_000).split()
+                spans[len(rows)] = (n, len(before), len(before) + len(version))
+                rows.append((len(rows), " ".join([*before, *version, *words(rng, 150, 60_000).split()])))
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {r.doc_id for r in got if (r.start, r.end) == spans[r.doc_id][1:]}
+    assert whole == set(spans)
+    assert all(r.kept == (r.doc_id % 2 == 0) and r.first_doc_id == r.doc_id // 2 * 2 for r in got)
+
+
 # Quality rules
 
 
