@@ -365,6 +365,30 @@ def test_near_copies_of_passages_are_found(spark):
     assert all(r.kept == (r.doc_id % 2 == 0) and r.first_doc_id == r.doc_id // 2 * 2 for r in got)
 
 
+def test_one_copy_of_adjacent_passages_stays(spark):
+    rng = random.Random(22)
+    passages = [words(rng, rng.randrange(50, 70), 60_000).split() for _ in range(6)]
+    rows, places = [], {}
+    # The first three are A, A next to B, and B; in the others any passages stand side by side or 31 words apart.
+    for i, ks in enumerate([[0], [0, 1], [1]] + [[rng.randrange(6) for _ in range(rng.randrange(1, 5))] for _ in range(40)]):
+        text = words(rng, 40, 60_000).split()
+        for k in dict.fromkeys(ks):
+            places[i, k] = len(text), len(text) + len(passages[k])
+            text += [*passages[k], *words(rng, rng.choice([0, 31]), 60_000).split()]
+        rows.append((i, " ".join(text)))
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = defaultdict(set)
+    for r in got:
+        if not r.kept:
+            gone[r.doc_id] |= set(range(r.start, r.end))
+    first = {}
+    for i, k in places:
+        first[k] = min(i, first.get(k, i))
+    for (i, k), (start, end) in places.items():
+        assert len(gone[i] & set(range(start, end))) == (0 if i == first[k] else end - start), (i, k)
+    assert sum(map(len, gone.values())) == sum(end - start for (i, k), (start, end) in places.items() if i != first[k])
+
+
 # Quality rules
 
 
