@@ -389,6 +389,19 @@ def test_one_copy_of_adjacent_passages_stays(spark):
     assert sum(map(len, gone.values())) == sum(end - start for (i, k), (start, end) in places.items() if i != first[k])
 
 
+def test_repeated_passages_are_covered_whole(spark):
+    rng = random.Random(23)
+    rows, spans = [], {}
+    for n in [24, 51, 60, 90, 120] * 8:
+        passage = words(rng, n, 60_000)
+        for _ in range(2):
+            before = rng.randrange(60)
+            spans[len(rows)] = before, before + n
+            rows.append((len(rows), f"{words(rng, before, 60_000)} {passage} {words(rng, rng.randrange(60), 60_000)}"))
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in got) == sorted((i, *s) for i, s in spans.items())
+
+
 # Quality rules
 
 
