@@ -14,6 +14,7 @@ driver is one row for each (language, table cell), whatever the input.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,8 +40,10 @@ CACHED = 300_000
 TOGETHER = 2_000_000
 
 UNDETERMINED = "und"
-_WORDS = re.compile(r"[^\W\d_]+").findall
-_WORD_SPANS = re.compile(r"[^\W\d_]+").finditer
+#: Numerals that aren't digits, such as ², ½, ① and 〇: they end a word, as digits do.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORDS, _WORD_SPANS = _WORD.findall, _WORD.finditer
 
 #: First code points of the ranges in which one script is written; between them, "other".
 RANGES = (
@@ -104,7 +107,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.setdefault(lang, Counter()).update(_WORDS(text.lower()))
     for lang, words in seen.items():
         cells, scripts = np.zeros(CELLS), Counter()
-        words = {w: n for w, n in words.items() if w.isalpha()}
         for word, n in words.items():
             scripts[script_of(word[0])] += n * len(word)
         if words:
@@ -168,9 +170,8 @@ class Labeller:
         """Scores the words met since the last call, all at once."""
         for at in range(0, len(self.fresh), 50_000):
             part = self.fresh[at : at + 50_000]
-            spelt = np.fromiter(map(str.isalpha, part), bool, len(part))  # numerals aren't letters
-            self.scores = np.concatenate([self.scores, self.model.words(part) * spelt[:, None]])
-            self.letters = np.concatenate([self.letters, np.fromiter(map(len, part), np.int64, len(part)) * spelt])
+            self.scores = np.concatenate([self.scores, self.model.words(part)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, part), np.int64, len(part))])
         self.fresh = []
 
     def ids(self, words: list[str]) -> np.ndarray:

@@ -466,6 +466,15 @@ DE = "der hund und die katze sind in dem haus mit allen ihren freunden die sie s
 RU = "кошка и собака живут в доме вместе со всеми своими друзьями которых они знают уже много лет".split()
 
 
+def test_numerals_end_words(spark):
+    zh, en = "今年五月我们去了北京看朋友", "the ship will leave in may and come back"
+    model = langid.train(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([(zh, "zh"), (en, "en")] * 5)], "doc_id long, text string, lang string"))
+    texts = ["二〇二四年五月", "①我们去了北京", "ship²", "½back", "²½①〇", "10 20"]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(6)] == ["zh", "zh", "en", "en", "und", "und"]
+    assert all(got[i].score > 0 for i in range(4)) and got[4].score == got[5].score == 0
+
+
 def test_language(spark, empty):
     rng = random.Random(7)
     some = lambda v, n: " ".join(rng.choice(v) for _ in range(n))
