@@ -7,8 +7,9 @@ logarithmic time; a run of equal bins with equal room moves as one range. The
 plan is that of best-fit decreasing over all pieces of the table, whatever
 their number, yet is made from at most ``capacity`` counts. Pieces then find
 their place by their rank among pieces of their size; ranks come from windows
-over (size, hash bucket) and the totals of the buckets, so a size with a third
-of all pieces is spread over BUCKETS windows.
+over (size, hash bucket) and the totals of the buckets; there is a bucket for each
+ROWS pieces of the table, so a size with a third of them has windows as small
+as any other.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from heddle.llm.common import stored, text_of
 from heddle.llm.tokens import encoder
 
-CAPACITY, END_ID, BUCKETS = 4096, 1, 128
+CAPACITY, END_ID = 4096, 1
+#: About how many pieces share a window of ranks, at most, and the fewest buckets.
+ROWS, BUCKETS = 100_000, 128
 _RANK_BITS = 44
 
 
@@ -129,10 +132,11 @@ def pack(docs: DataFrame, vocabulary: str, *, capacity: int = CAPACITY, end_id:
     often as they occur; rows that agree in id and piece are interchangeable.
     An empty table gives no rows; other columns are ignored.
     """
-    cut = pieces(docs, vocabulary, capacity, end_id)
-    cut = stored(cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")), "pack-pieces")
-    sizes = stored(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "pack-sizes")
-    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows
+    cut = stored(pieces(docs, vocabulary, capacity, end_id), "pack-pieces")
+    buckets = max(BUCKETS, cut.count() // ROWS)  # from the files' footers
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    sizes = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     moves, _ = plan(counts, capacity)
     table = np.array(sorted(moves), np.int64).reshape(-1, 5)
     keys = (table[:, 0] << _RANK_BITS) + table[:, 1]

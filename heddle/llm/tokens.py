@@ -1,8 +1,10 @@
 """Token ids by a public word-level BPE vocabulary, with caches for repeated words.
 
-The vocabulary's rules never reach over white space, so a text is encoded chunk
-by chunk; equal chunks are encoded once per cache. Chunks of ASCII and Latin-1
-letters are cut here and given to the BPE model directly; any other chunk goes
+The vocabulary's rules lower-case a text, then cut it into runs of letters,
+single digits, runs of other marks and a few English endings, and never reach
+over white space. A text of ASCII and Latin-1 characters is cut in one pass
+here and its parts are given to the BPE model directly, each distinct part once
+per cache; any other text goes chunk by chunk, those with other characters
 through the tokenizer as a whole. Both give what encoding the text gives.
 """
 
@@ -13,11 +15,12 @@ import struct
 
 from tokenizers import Tokenizer
 
-#: Entries of the caches of words and of chunks before each is started anew: at about 0.5 kB each, what a worker holds besides the vocabulary.
-WORDS_CACHED, CHUNKS_CACHED = 100_000, 300_000
+#: Entries of each cache before it is started anew, and the longest text that one keeps: at most some 250 bytes an entry.
+CACHED, LONGEST = 250_000, 32
 
-_SAFE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
-_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Characters that NFC leaves alone and whose class and lower case are plain: ASCII without controls, and the letters of Latin-1.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
+_PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\t-\r ]+").findall
 
 
 def _byte_letters() -> dict[int, str]:
@@ -28,14 +31,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    def __init__(self, make, most: int):
+    def __init__(self, make):
         super().__init__()
-        self.make, self.most = make, most
+        self.make = make
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= CACHED:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -46,8 +51,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words = _Cache(self._word, WORDS_CACHED)
-        self.chunks = _Cache(self._chunk, CHUNKS_CACHED)
+        self.words = _Cache(self._word)
+        self.chunks = _Cache(self._chunk)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
@@ -57,12 +62,14 @@ class Encoder:
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if _SAFE(text) and "<|" not in text:
+        if _PLAIN(text) and "<|" not in text:
             return b"".join(map(self.words.__getitem__, _PARTS(text.lower())))
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
+        if _PLAIN(text) and "<|" not in text:
+            return b"".join(map(self.words.__getitem__, _PARTS(text.lower())))
         # bytes.split() cuts at ASCII white space only; other white space stays inside a chunk.
         return b"".join(map(self.chunks.__getitem__, text.encode().split()))
 
