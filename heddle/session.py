@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from heddle.errors import DatasetError
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -29,10 +31,14 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can reach, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (a single machine) a temporary folder takes its place.
+    Where that is unset and all of Spark runs in one process, a temporary folder
+    takes its place; on a cluster that would lose what executors write, so there
+    it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.isLocal:
+            raise DatasetError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='heddle-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
