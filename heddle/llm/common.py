@@ -26,14 +26,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a ``stored`` table that no later plan reads."""
+    """Deletes the files of a ``stored`` table that no later plan reads; leaves files outside the shared folder alone."""
     spark = df.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    root = path_of(shared_dir(spark)).toUri().getPath()
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(shared_dir(spark)[:8]):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target = path_of(path)
+        if target.getParent().toUri().getPath() == root:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A key is hot if it has more than this share of all rows, but not for fewer rows than LEAST_HOT.
+HOT_SHARE, LEAST_HOT = 2048, 1000
+
+
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each of the ``keys`` and in ``n`` how many of ``rows`` have it.
+
+    Fewer than HOT_SHARE keys can have more than 1 / HOT_SHARE of all rows.
+    Those are sent to where their rows are, so that no task gets all rows of a
+    hot key; the rest is joined as usual. Null keys match nothing.
+    """
+    least = max(rows.count() // HOT_SHARE, LEAST_HOT)
+    hot = side.where(F.col(n) > least)
+    if hot.isEmpty():
+        return rows.join(side, keys)
+    there = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.where(F.col(n) <= least), keys)
+    return there.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

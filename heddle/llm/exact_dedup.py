@@ -3,64 +3,73 @@
 Texts are equal when they are identical after ASCII white space is deleted.
 The index is built like an extendible hash file:
 
-* every row gets a 64-bit key of its squeezed text and a SHA-256 digest;
-* the *directory* is doubled until each bucket holds at most ``capacity``
-  distinct keys: a prefix of ``depth`` bits addresses a bucket, and a bucket
-  that fits keeps its shorter local depth. It has at most ``2**MAX_DEPTH``
-  entries whatever the input, so broadcasting it is safe;
-* rows are counted per entry before they move; owner tasks then take disjoint
-  ranges of (bucket, key), chain the entries of one key, and write the index
-  to the shared folder;
-* every entry has the *bytes* of its rows compared: it holds one text where the
-  least and the greatest are equal. Where different bytes share an entry, the
-  chain is resolved by the bytes themselves.
-
-A group of copies is one index entry, so a group with a third of all rows moves
-as one pre-aggregated row from each task, in the index and in the comparison.
+* every row gets a 64-bit key of its squeezed text. Rows are counted per key
+  before they move, so a group with a third of all rows is one row from each
+  task;
+* the *directory* starts at the depth that the number of keys asks for and is
+  doubled, one leading bit of the key at a time, until no bucket has more than
+  ``capacity`` keys. There is no limit but the key's own bits. A bucket that
+  fits keeps its shorter local depth, and several slots then point to it;
+* keys find their bucket through their slot; owner tasks take disjoint ranges
+  of (bucket, key) and write the index, a chain for each key;
+* a chain of one row is done. Of all others the *bytes* are compared, and only
+  their texts move: a bitmap of their keys, at most 16 MB whatever the input,
+  tells each task which rows to send, and of equal texts it sends one. Where
+  different bytes share a key, the chain is resolved by the bytes themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import squeezed, stored, text_of
+from heddle.llm.common import joined, squeezed, stored, text_of
 
-MAX_DEPTH = 16
 CAPACITY = 4096
+#: The bitmap has about 16 bits a key and at most 2 ** WIDEST bits, in rows of 2 ** CELL_BITS.
+WIDEST, CELL_BITS = 27, 15
 
 
-def _keyed(docs: DataFrame, key_bits: int, digest_bytes: int) -> DataFrame:
+def _key(bare: Column, key_bits: int) -> Column:
+    return F.xxhash64(bare).bitwiseAND(F.lit(-1 << (64 - key_bits)))
+
+
+def _keyed(docs: DataFrame, key_bits: int) -> DataFrame:
     bare = squeezed(text_of())
-    full = F.sha2(bare.cast("binary"), 256)
-    return docs.select(
-        "doc_id",
-        F.char_length(text_of()).alias("n_points"),
-        F.shiftrightunsigned(F.xxhash64(bare), 64 - key_bits).alias("key") if key_bits < 64 else F.xxhash64(bare).alias("key"),
-        F.substring(F.unhex(full), 1, digest_bytes).alias("digest"),
-        F.unhex(full).alias("sha"),
-        bare.alias("bare"),
-    )
+    return docs.select("doc_id", F.char_length(text_of()).alias("n_points"), _key(bare, key_bits).alias("key"), bare.alias("bare"))
+
+
+def _sha(bare: Column) -> Column:
+    return F.unhex(F.sha2(bare.cast("binary"), 256))
 
 
-def _prefix(key: Column, key_bits: int) -> Column:
-    return F.shiftrightunsigned(key, max(0, key_bits - MAX_DEPTH))
+def slot(key: Column, depth: int) -> Column:
+    """The leading ``depth`` bits of a key."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, key_bits: int = 64, capacity: int = CAPACITY) -> DataFrame:
-    """(prefix, depth, bucket) for every prefix in use, from distinct ``key`` values.
+def directory(keys: DataFrame, key_bits: int = 64, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """(slot, bucket) for every slot in use, from distinct ``key`` values, and the directory's depth.
 
-    ``depth`` is the smallest number of leading bits at which the bucket holds
-    at most ``capacity`` keys, or MAX_DEPTH where none does.
+    A bucket is named by the first of its slots. It has at most ``capacity``
+    keys, or one key where ``capacity`` is less.
     """
-    full = keys.groupBy(_prefix(F.col("key"), key_bits).alias("prefix")).agg(F.count("*").alias("n"))
-    width = min(MAX_DEPTH, key_bits)
-    levels = full.select("prefix", "n", F.explode(F.sequence(F.lit(0), F.lit(width))).alias("depth"))
-    levels = levels.withColumn("bucket", F.expr(f"shiftrightunsigned(prefix, {width} - depth)"))
-    # Buckets that are split again: fewer than 2**MAX_DEPTH, so they can be broadcast.
-    split = levels.where(F.col("depth") < width).groupBy("depth", "bucket").agg(F.sum("n").alias("held")).where(F.col("held") > capacity).select("depth", "bucket", F.lit(True).alias("split"))
-    found = levels.join(F.broadcast(split), ["depth", "bucket"], "left").groupBy("prefix").agg(F.coalesce(F.max(F.when(F.col("split"), F.col("depth"))) + 1, F.lit(0)).alias("depth"))
-    return found.withColumn("bucket", F.expr(f"shiftrightunsigned(prefix, {width} - depth)"))
+    depth = min(key_bits, max(0, (keys.count() // capacity).bit_length() - 1))
+    left, levels = keys.select("key"), []
+    while True:
+        held = stored(left.groupBy(slot(F.col("key"), depth).alias("prefix")).agg(F.count("*").alias("n")), "exact-level")
+        over = held.where(F.col("n") > (capacity if depth < key_bits else F.col("n"))).select("prefix")
+        levels.append((depth, held.where(F.col("n") <= capacity) if depth < key_bits else held))
+        if over.isEmpty():
+            break
+        left = left.join(over, slot(F.col("key"), depth) == F.col("prefix"), "left_semi")
+        depth += 1
+    found = None
+    for at, fitting in levels:
+        first = F.shiftleft("prefix", depth - at)
+        part = fitting.select(F.explode(F.sequence(first, first + (1 << (depth - at)) - 1)).alias("slot"), first.alias("bucket"))
+        found = part if found is None else found.unionByName(part)
+    return stored(found, "exact-directory"), depth
 
 
 def _best() -> Column:
@@ -68,49 +77,69 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("n_points")).alias("short"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
 
 
-def exact_groups(docs: DataFrame, *, key_bits: int = 64, digest_bytes: int = 32, capacity: int = CAPACITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, key, digest.
+class Suspects:
+    """A bitmap of keys: tells for sure that a key is not among them."""
+
+    def __init__(self, keys: DataFrame):
+        self.width = min(WIDEST, max(CELL_BITS, (16 * keys.count()).bit_length()))
+        cell, at = self._place()
+        cells = keys.select(cell.alias("cell"), at.alias("at")).groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bits"))
+        self.cells = stored(cells, "exact-bitmap")  # 2 ** (WIDEST - CELL_BITS) rows of 4 kB at most
+
+    def _place(self) -> tuple[Column, Column]:
+        h = F.pmod(F.xxhash64("key"), F.lit(1 << self.width))
+        return F.shiftright(h, CELL_BITS), h.bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``rows`` that may be suspects and those that are not."""
+        cell, at = self._place()
+        cells = F.broadcast(self.cells.withColumnRenamed("cell", "b_cell"))
+        told = rows.withColumn("b_at", at).join(cells, cell == F.col("b_cell"), "left")
+        byte = F.conv(F.hex(F.expr("substring(bits, cast(b_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        told = told.withColumn("b_maybe", F.coalesce(F.getbit(byte, (F.col("b_at") % 8).cast("int")) == 1, F.lit(False)))
+        return tuple(told.where(c).select(*rows.columns) for c in ("b_maybe", "not b_maybe"))
+
+
+def _chains(docs: DataFrame, key_bits: int, capacity: int) -> tuple[DataFrame, Suspects]:
+    """All rows with their group (doc_id, n_points, sha, row, best, n), and the keys of more than one row."""
+    keyed = _keyed(docs, key_bits)
+    entries = stored(keyed.select("doc_id", "n_points", "key", _sha(F.col("bare")).alias("sha"), F.monotonically_increasing_id().alias("row")), "exact-entries")
+    keys = stored(entries.groupBy("key").agg(_best().alias("best"), F.count("*").alias("n")), "exact-keys")
+    slots, depth = directory(keys, key_bits, capacity)
+    index = keys.join(slots, slot(F.col("key"), depth) == F.col("slot")).select("bucket", "key", "n", "best")
+    index = stored(index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "exact-index")
+
+    suspects = Suspects(index.where("n > 1"))
+    # Of one text a task sends one row, however many copies it holds.
+    texts = suspects.split(keyed)[0].withColumn("slot", slot(F.col("key"), depth))
+    compared = texts.groupBy("slot", "key").agg(F.min("bare").alias("low"), F.max("bare").alias("high"))
+    mixed = stored(compared.where("low <> high").select("key"), "exact-mixed")
+    chains = index.select("key", "n", "best")
+    told = ["doc_id", "n_points", "sha", "row", "best", "n"]
+    if mixed.isEmpty():
+        return joined(entries, chains, ["key"], "n").select(*told), suspects
+    clean = joined(entries.join(mixed, "key", "left_anti"), chains.join(mixed, "key", "left_anti"), ["key"], "n")
+    rows = suspects.split(keyed)[0].join(mixed, "key", "left_semi").withColumns({"row": F.monotonically_increasing_id(), "sha": _sha(F.col("bare"))})
+    rows = stored(rows, "exact-collisions")
+    by_text = rows.groupBy("key", "bare").agg(_best().alias("best"), F.count("*").alias("n"))
+    return clean.select(*told).unionByName(joined(rows, by_text, ["key", "bare"], "n").select(*told)), suspects
+
+
+def exact_groups(docs: DataFrame, *, key_bits: int = 64, capacity: int = CAPACITY) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty; all empty texts form one group. Of equal texts
     the row with the most code points stays, then the smallest doc_id (null ids
     last); of rows that repeat an id and a text exactly one stays. An empty
     table gives no rows; other columns of ``docs`` are not read.
 
-    ``key_bits`` and ``digest_bytes`` can be lowered (tests do) to force
-    collisions; the result doesn't depend on them.
+    ``key_bits`` and ``capacity`` can be lowered (tests do) to force collisions
+    and doublings; the result doesn't depend on them.
     """
-    keyed = _keyed(docs, key_bits, digest_bytes)
-    entries = stored(keyed.drop("bare").withColumn("row", F.monotonically_increasing_id()), "exact-entries")
-    buckets = directory(entries.select("key").distinct(), key_bits, capacity)
-    index = (
-        entries.withColumn("prefix", _prefix(F.col("key"), key_bits))
-        .groupBy("prefix", "key", "digest")
-        .agg(_best().alias("best"), F.count("*").alias("group_size"))
-        .join(F.broadcast(buckets), "prefix")
-        .repartitionByRange("bucket", "key")
-        .sortWithinPartitions("bucket", "key", "digest")
-    )
-    index = stored(index, "exact-index")
-
-    # Bytes are compared inside each task first: of one text a task sends one row, however many copies it holds.
-    compared = keyed.groupBy("key", "digest").agg(F.min("bare").alias("low"), F.max("bare").alias("high"))
-    chains = compared.where("low <> high").select("key", "digest")
-    chains = stored(chains, "exact-chains")
-
-    found = index.select("key", "digest", "best", "group_size")
-    if chains.isEmpty():
-        return _told(entries.join(found, ["key", "digest"]))
-    clean = entries.join(chains, ["key", "digest"], "left_anti").join(found, ["key", "digest"])
-    mixed = stored(keyed.join(chains, ["key", "digest"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "exact-mixed")
-    by_text = mixed.groupBy("key", "digest", "bare").agg(_best().alias("best"), F.count("*").alias("group_size"))
-    return _told(clean).unionByName(_told(mixed.join(by_text, ["key", "digest", "bare"])))
-
-
-def _told(rows: DataFrame) -> DataFrame:
-    return rows.select(
+    return _chains(docs, key_bits, capacity)[0].select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
+        F.col("n").cast("long").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
@@ -119,15 +148,17 @@ def _told(rows: DataFrame) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of each group of equal texts.
 
-    The row that stays is the one that ``exact_groups`` names; columns and
-    other rows are untouched. Repeated rows (same id, same text) count once.
+    The row that stays is the one that ``exact_groups`` names; of rows that
+    agree in id, text and length one stays, any. Null texts count as empty.
+    Other rows and all columns, whatever their names, are untouched: no row
+    whose key is its own is moved. An empty table gives no rows.
     """
-    rows = stored(exact_groups(docs).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"), "kept"), "exact-kept")
-    sha = F.unhex(F.sha2(squeezed(text_of("__d.text")).cast("binary"), 256))
-    out = docs.alias("__d").join(rows.where("kept"), F.col("__d.doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    if rows.groupBy("__id", "__sha").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return out
-    # Rows that repeat an id with one text: the longest of each stays.
-    order = Window.partitionBy("doc_id", "__sha").orderBy(F.char_length(text_of()).desc())
-    out = out.withColumn("__sha", F.unhex(F.sha2(squeezed(text_of()).cast("binary"), 256)))
-    return out.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__sha")
+    chains, suspects = _chains(docs.select("doc_id", "text"), 64, CAPACITY)
+    stay = chains.where("row = best.row").select(F.col("doc_id").alias("s_id"), F.col("n_points").alias("s_points"), F.col("sha").alias("s_sha"))
+    text = text_of("whole.text")
+    rows = docs.select(F.struct("*").alias("whole")).withColumn("key", _key(squeezed(text), 64))
+    maybe, alone = suspects.split(rows)
+    maybe = maybe.withColumns({"sha": _sha(squeezed(text)), "points": F.char_length(text)})
+    same = (F.col("sha") == F.col("s_sha")) & F.col("whole.doc_id").eqNullSafe(F.col("s_id")) & (F.col("points") == F.col("s_points"))
+    best = maybe.join(stay, same, "left_semi").groupBy("sha").agg(F.first("whole").alias("whole"))
+    return alone.select("whole.*").unionByName(best.select("whole.*"))

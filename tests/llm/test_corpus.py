@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from heddle.llm import chat, components, exact_dedup, langid, mixing, packing, quality_model, quality_rules, secrets, simhash, substring
+from heddle.llm import chat, common, components, exact_dedup, langid, mixing, packing, quality_model, quality_rules, secrets, simhash, substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -53,9 +53,9 @@ def squeezed(t):
     return re.sub(r"[\x20\x09-\x0D]+", "", t or "")
 
 
-@pytest.mark.parametrize("bits,digest,capacity", [(64, 32, 4096), (64, 32, 2), (3, 1, 4), (1, 0, 1)])
-def test_exact_groups(docs, rows, bits, digest, capacity):
-    got = exact_dedup.exact_groups(docs, key_bits=bits, digest_bytes=digest, capacity=capacity).collect()
+@pytest.mark.parametrize("bits,capacity", [(64, 4096), (64, 2), (3, 4), (1, 1)])
+def test_exact_groups(docs, rows, bits, capacity):
+    got = exact_dedup.exact_groups(docs, key_bits=bits, capacity=capacity).collect()
     groups = defaultdict(list)
     for r in rows:
         groups[squeezed(r[1])].append(r)
@@ -76,11 +76,56 @@ def test_drop_exact_copies(docs, rows, empty):
     assert exact_dedup.drop_exact_copies(empty).count() == exact_dedup.exact_groups(empty).count() == 0
 
 
-def test_directory_splits_until_buckets_fit(spark):
-    keys = spark.range(500).select(F.xxhash64("id").alias("key"))
-    d = exact_dedup.directory(keys, capacity=20)
-    full = keys.join(d, exact_dedup._prefix(F.col("key"), 64) == F.col("prefix"))
-    assert full.groupBy("depth", "bucket").count().agg(F.max("count")).first()[0] <= 20
+@pytest.mark.parametrize("n,capacity", [(500, 20), (0, 4), (3000, 1)])
+def test_directory_splits_until_buckets_fit(spark, n, capacity):
+    keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+    d, depth = exact_dedup.directory(keys, capacity=capacity)
+    full = keys.join(d, exact_dedup.slot(F.col("key"), depth) == F.col("slot"))
+    assert full.count() == n
+    assert all(r["count"] <= capacity for r in full.groupBy("bucket").count().collect())
+
+
+def test_directory_has_no_depth_limit(spark):
+    keys = spark.range(64).select((F.lit(0x5555555555550000) + F.col("id")).alias("key"))
+    d, depth = exact_dedup.directory(keys, capacity=16)
+    assert depth == 60 and keys.join(d, exact_dedup.slot(F.col("key"), depth) == F.col("slot")).count() == 64
+
+
+def test_index_carries_the_result(docs, monkeypatch):
+    """Rows reach their group through the directory only."""
+    whole = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: (whole(*a)[0].where("false"), whole(*a)[1]))
+    assert exact_dedup.exact_groups(docs).count() == 0
+
+
+def test_suspects_are_never_missed(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    some = exact_dedup.Suspects(keys.limit(700))
+    maybe, not_ = some.split(keys)
+    assert maybe.count() + not_.count() == 5000 and not_.join(keys.limit(700), "key").count() == 0 and not_.count() > 3500
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).alias("k"))
+    side = rows.groupBy("k").agg(F.count("*").alias("n"))
+    got = common.joined(rows, side, ["k"], "n")
+    assert sorted(map(tuple, got.select("id", "k", "n").collect())) == sorted(map(tuple, rows.join(side, "k").select("id", "k", "n").collect()))
+
+
+CLASHES = ["pass", "words", "__row", "__fp", "__id", "__lang", "__sha", "size", "whole", "key", "sha", "row", "fp", "best", "kept", "lang_pred", "picks", "bucket", "b_at", "bits", "dotted.name"]
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.drop_exact_copies, simhash.drop_near_copies, mixing.mixed_documents, langid.keep_identified])
+def test_stages_keep_foreign_columns(spark, rows, stage):
+    """Extra columns keep their values, whatever they are called; packing has columns of its own."""
+    some = [r[:5] for r in rows if r[0] is not None]
+    some = list({r[0]: r for r in some}.values())
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASHES)
+    df = spark.createDataFrame([(*r, *[1000 * r[0] + k for k in range(len(CLASHES))]) for r in some], schema)
+    out = stage(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert got and all(tuple(r)[5:] == tuple(1000 * r[0] + k for k in range(len(CLASHES))) for r in got)
 
 
 # Mixing
