@@ -587,8 +587,8 @@ def test_discriminant_is_the_gaussian_ratio():
 # Chat
 
 
-@pytest.mark.parametrize("budget,history,held", [(512, 2, 128), (20, 1, 8), (1, 0, 0), (30, 3, 1000)])
-def test_chat_round_trip(spark, budget, history, held):
+@pytest.mark.parametrize("budget,history,held,segment", [(512, 2, 128, 1024), (20, 1, 8, 1024), (1, 0, 0, 2), (30, 3, 1000, 5), (512, 2, 128, 7)])
+def test_chat_round_trip(spark, budget, history, held, segment):
     rng = random.Random(budget)
     pieces = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "<\\", "[", "hello", "\n", "é", " ", "$1", "<s>user[INST]"]
     rows = []
@@ -599,7 +599,7 @@ def test_chat_round_trip(spark, budget, history, held):
             rows.append((c if c else None, k if c % 5 else rng.choice([k, None]), role, None if rng.random() < 0.1 else "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))))
     rows += [(99, 0, "assistant", "same")] * 3 + [(98, i, ("user", "assistant")[i % 2], "word " * 20) for i in range(60)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, window string").repartition(3)
-    w = chat.windows(df, budget=budget, history_turns=history, history_tokens=held)
+    w = chat.windows(df, budget=budget, history_turns=history, history_tokens=held, segment=segment)
     got = {r.conv_id: r for r in chat.digests(w).collect()}
     per = defaultdict(list)
     for c, k, role, text in rows:
@@ -625,6 +625,52 @@ def test_chat_keeps_the_system_turn(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def plain_windows(turns, budget, history_turns, history_tokens, segment):
+    """(first new turn, shown turns, repeated) of a conversation of (role, text, tokens)."""
+    head = turns[0] if turns[0][0] == "system" else None
+    room = max(1, budget - (head[2] if head else 0) - history_tokens)
+    starts, held = [], 0
+    for i, (_, _, n) in enumerate(turns):
+        if i % segment == 0 or (held and held + n > room + (history_tokens if len(starts) == 1 else 0)):
+            starts.append(i)
+            held = 0 if head and i == 0 else n
+        else:
+            held += n
+    out = []
+    for s, until in zip(starts, [*starts[1:], len(turns)]):
+        past = max(k for k in range(min(history_turns, s - bool(head and s)) + 1) if sum(t[2] for t in turns[s - k : s]) <= history_tokens) if s else 0
+        again = [head] if head and s else []
+        out.append((s, again + turns[s - past : until], len(again) + past))
+    return out
+
+
+@pytest.mark.parametrize("segment", [4, 9, 1024])
+def test_chat_windows_are_those_of_a_plain_loop(spark, segment):
+    rng = random.Random(segment)
+    rows, want = [], {}
+    for c in range(30):
+        turns = [("system" if k == 0 and c % 2 else rng.choice(["user", "assistant"]), words(rng, rng.randrange(1, 25)), k) for k in range(rng.randrange(1, 40))]
+        rows += [(c, k, role, text) for role, text, k in turns]
+        count = lambda t: len(re.findall(r"\w+|[^\s\w]", t))
+        want[c] = plain_windows([(role, text, count(role) + count(text) + 4) for role, text, _ in turns], 80, 2, 30, segment)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = defaultdict(list)
+    for r in chat.windows(df, budget=80, history_turns=2, history_tokens=30, segment=segment).collect():
+        got[r.conv_id].append((r.window, r.text, r.repeated, r.tokens))
+    for c, ws in want.items():
+        assert sorted(got[c]) == [(s, "".join(f"<s>{role}[INST]{text}</s>" for role, text, _ in shown), repeated, sum(n for _, _, n in shown)) for s, shown, repeated in ws]
+
+
+def test_chat_long_conversation(spark):
+    n = 20_000
+    long = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), "id", F.repeat(F.lit(" and more"), 20)).alias("text"))
+    got = chat.digests(chat.windows(long)).collect()
+    told = [f"turn {i}" + " and more" * 20 for i in range(n)]
+    assert len(got) == 1 and got[0].n_turns == n
+    assert got[0].turns_sha256 == hashlib.sha256("".join(f"{('user', 'assistant')[i % 2]}\n{t}\n" for i, t in enumerate(told)).encode()).hexdigest()
+    assert got[0].loss_sha256 == hashlib.sha256("".join(told[1::2]).encode()).hexdigest()
+
+
 # The registered queries and the pipeline
 
 
