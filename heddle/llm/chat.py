@@ -139,23 +139,16 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     A digest runs over all texts of a conversation, and SQL has no digest in
     parts, so here (not in ``windows``) the texts of one conversation meet in
-    one row: of at most 2 GB, some 500 MB of text for each GB of heap.
+    one row: of at most 2 GB, by hand, 100,000 turns of 55 MB pass in a heap of 1 GB and 200,000 of 110 MB do not.
     """
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     parts = read_back(formatted).select("conv_id", "window", "n_points", F.size("turns").alias("n"), told.alias("told"), F.array_join("targets", "").alias("loss"))
-    per = parts.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("window", "told", "loss"))).alias("all"),
+    whole = lambda part: F.sha2(F.expr(f"listagg({part}, '') within group (order by window)").cast("binary"), 256)
+    return parts.groupBy("conv_id").agg(
         F.sum("n").cast("long").alias("n_turns"),
+        whole("told").alias("turns_sha256"),
         F.sum(F.char_length("loss")).cast("long").alias("loss_chars"),
+        whole("loss").alias("loss_sha256"),
         F.sum("n_points").cast("long").alias("formatted_chars"),
         F.count("*").alias("n_windows"),
     )
-    return per.select(
-        "conv_id",
-        "n_turns",
-        F.sha2(F.array_join("all.told", "").cast("binary"), 256).alias("turns_sha256"),
-        "loss_chars",
-        F.sha2(F.array_join("all.loss", "").cast("binary"), 256).alias("loss_sha256"),
-        "formatted_chars",
-        "n_windows",
-    )
