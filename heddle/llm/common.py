@@ -56,6 +56,47 @@ def joined(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFra
     return there.unionByName(rest)
 
 
+#: A sieve has about 16 bits a key and at most 2 ** WIDEST bits, in rows of 2 ** CELL_BITS.
+WIDEST, CELL_BITS = 27, 15
+
+
+class Sieve:
+    """A bitmap of the ``key`` column of a table: tells for sure that a key is not in it.
+
+    It is sent to all tasks, with 2 ** (WIDEST - CELL_BITS) rows of 4 kB at
+    most. With more keys than it has room for, more rows pass for members; what
+    is decided by comparing those with the keys stays right.
+    """
+
+    def __init__(self, keys: DataFrame):
+        self.width = min(WIDEST, max(CELL_BITS, (16 * keys.count()).bit_length()))
+        cell, at = self._place()
+        cells = keys.select(cell.alias("cell"), at.alias("at")).groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bits"))
+        self.cells = stored(cells.withColumnsRenamed({"cell": "b_cell", "bits": "b_bits"}), "sieve")
+
+    def _place(self) -> tuple[Column, Column]:
+        h = F.pmod(F.xxhash64("key"), F.lit(1 << self.width))
+        return F.shiftright(h, CELL_BITS), h.bitwiseAND(F.lit((1 << CELL_BITS) - 1))
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``rows`` whose ``key`` may be in the table, and those whose key is not. Their names don't begin with b_."""
+        cell, at = self._place()
+        told = rows.withColumn("b_at", at).join(F.broadcast(self.cells), cell == F.col("b_cell"), "left")
+        byte = F.conv(F.hex(F.expr("substring(b_bits, cast(b_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        told = told.withColumn("b_maybe", F.coalesce(F.getbit(byte, (F.col("b_at") % 8).cast("int")) == 1, F.lit(False)))
+        return tuple(told.where(c).select(*rows.columns) for c in ("b_maybe", "not b_maybe"))
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Stored rows of ``key``, a number of their own, and ``whole``, the row of ``docs`` as a struct, so that no name of it can clash."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("whole")), name)
+
+
+def field(name: str) -> Column:
+    """A column of ``docs`` in ``numbered`` rows, whatever its name holds."""
+    return F.col("whole").getField(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

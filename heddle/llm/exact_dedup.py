@@ -23,11 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import joined, squeezed, stored, text_of
+from heddle.llm.common import Sieve, joined, squeezed, stored, text_of
 
 CAPACITY = 4096
-#: The bitmap has about 16 bits a key and at most 2 ** WIDEST bits, in rows of 2 ** CELL_BITS.
-WIDEST, CELL_BITS = 27, 15
 
 
 def _key(bare: Column, key_bits: int) -> Column:
@@ -77,30 +75,7 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("n_points")).alias("short"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
 
 
-class Suspects:
-    """A bitmap of keys: tells for sure that a key is not among them."""
-
-    def __init__(self, keys: DataFrame):
-        self.width = min(WIDEST, max(CELL_BITS, (16 * keys.count()).bit_length()))
-        cell, at = self._place()
-        cells = keys.select(cell.alias("cell"), at.alias("at")).groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bits"))
-        self.cells = stored(cells, "exact-bitmap")  # 2 ** (WIDEST - CELL_BITS) rows of 4 kB at most
-
-    def _place(self) -> tuple[Column, Column]:
-        h = F.pmod(F.xxhash64("key"), F.lit(1 << self.width))
-        return F.shiftright(h, CELL_BITS), h.bitwiseAND(F.lit((1 << CELL_BITS) - 1))
-
-    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``rows`` that may be suspects and those that are not."""
-        cell, at = self._place()
-        cells = F.broadcast(self.cells.withColumnRenamed("cell", "b_cell"))
-        told = rows.withColumn("b_at", at).join(cells, cell == F.col("b_cell"), "left")
-        byte = F.conv(F.hex(F.expr("substring(bits, cast(b_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        told = told.withColumn("b_maybe", F.coalesce(F.getbit(byte, (F.col("b_at") % 8).cast("int")) == 1, F.lit(False)))
-        return tuple(told.where(c).select(*rows.columns) for c in ("b_maybe", "not b_maybe"))
-
-
-def _chains(docs: DataFrame, key_bits: int, capacity: int) -> tuple[DataFrame, Suspects]:
+def _chains(docs: DataFrame, key_bits: int, capacity: int) -> tuple[DataFrame, Sieve]:
     """All rows with their group (doc_id, n_points, sha, row, best, n), and the keys of more than one row."""
     keyed = _keyed(docs, key_bits)
     entries = stored(keyed.select("doc_id", "n_points", "key", _sha(F.col("bare")).alias("sha"), F.monotonically_increasing_id().alias("row")), "exact-entries")
@@ -109,7 +84,7 @@ def _chains(docs: DataFrame, key_bits: int, capacity: int) -> tuple[DataFrame, S
     index = keys.join(slots, slot(F.col("key"), depth) == F.col("slot")).select("bucket", "key", "n", "best")
     index = stored(index.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "exact-index")
 
-    suspects = Suspects(index.where("n > 1"))
+    suspects = Sieve(index.where("n > 1"))
     # Of one text a task sends one row, however many copies it holds.
     texts = suspects.split(keyed)[0].withColumn("slot", slot(F.col("key"), depth))
     compared = texts.groupBy("slot", "key").agg(F.min("bare").alias("low"), F.max("bare").alias("high"))

@@ -23,8 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from heddle.llm.common import text_of
+from pyspark.sql import types as T
 
 #: Labelled rows to learn from, about: the chance of each row is set so that this many are expected.
 SAMPLE_ROWS = 6000
@@ -40,6 +39,7 @@ CACHED = 300_000
 TOGETHER = 2_000_000
 
 UNDETERMINED = "und"
+NAMES = ("lang_pred", "score", "n_spans", "spans")
 #: Numerals that aren't digits, such as ², ½, ① and 〇: they end a word, as digits do.
 _NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
@@ -231,8 +231,8 @@ class Labeller:
         return self.model.langs[win], float(per[win] / total / odds) if odds >= 1 else float(per[win] / total)
 
 
-def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[str, ...] = (), names: tuple[str, ...] = ("lang_pred", "score", "n_spans", "spans")) -> DataFrame:
-    """One row per row of ``docs``: doc_id and ``keep``, then lang_pred, score, n_spans (and ``spans``) under ``names``.
+def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id and ``keep``, then lang_pred, score, n_spans (and ``spans``).
 
     ``und`` with score 0 where the text is null or has no letter, and for every
     text if nothing was learned. Whole texts are labelled, however long. Ties
@@ -275,12 +275,12 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[
             if spans:
                 arrays.append(pa.array(cols[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
             passed = [b.column(0), *([b.column(1)] if "text" in keep else []), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays([*passed, *arrays], names=[*out, *names[: len(arrays)]])
+            yield pa.RecordBatch.from_arrays([*passed, *arrays], names=[*out, *NAMES[: len(arrays)]])
 
     rows = docs.select("doc_id", "text", *carried)
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out]
-    types = ("string", "double", "int", "array<struct<start:int,end:int,lang:string>>")[: 4 if spans else 3]
-    return rows.mapInArrow(label, ", ".join([*kinds, *[f"`{n}` {t}" for n, t in zip(names, types)]]))
+    types = [T.StringType(), T.DoubleType(), T.IntegerType(), T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", T.StringType()))]
+    told = zip(NAMES[: 4 if spans else 3], types)
+    return rows.mapInArrow(label, T.StructType([*[rows.schema[c] for c in out], *[T.StructField(n, t) for n, t in told]]))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
@@ -293,8 +293,12 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     model = train(docs.select("doc_id", "text", "lang"))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score", "__spans"))
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= least)).select(*docs.columns)
+    # Other columns pass in a struct, so that none can clash with the verdict's.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(*[docs[f"`{c}`"] for c in others]).alias("rest")] if others else []
+    found = identify(docs.select("doc_id", "text", *rest), model, keep=("text", *(["rest"] if others else [])))
+    found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def _spans(text: str, path: np.ndarray, cuts: np.ndarray, langs: list[str]) -> list[dict]:

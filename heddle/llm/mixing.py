@@ -3,15 +3,18 @@
 Each source is one long stream of words: its documents in a seeded order. The
 stream is cut into blocks of ``block`` words. The mix has as many seats as its
 budget has blocks; sources win seats by the highest quotients target / (2k + 1).
-A source's blocks lie in at most ``SHARDS`` equal shards, which share the seats
-of their source in the same way; so each shard has an integer quota. Inside a
-shard a seeded permutation picks the blocks that are taken once more than the
-others. A block is taken at most twice, so no document passes twice its size.
+A source's blocks lie in equal shards of RUN blocks or more, at most ``SHARDS``,
+which share the seats of their source in the same way; so each shard has an
+integer quota. The blocks that a shard takes once more than the others follow
+each other, from a seeded place and around its end: with documents in a seeded
+order that is as random a choice as any, and it cuts three documents of a shard
+at most. All others are taken whole or not at all. A block is taken at most
+twice, so no document passes twice its size.
 
 Scale: words are counted once and stored; prefix sums are taken per (source,
-hash bucket of ids) and put together from bucket totals, so a source with a
-third of all rows is spread over ``BUCKETS`` windows. What is kept per source
-is bounded: ``BUCKETS`` offsets and ``SHARDS`` quotas.
+hash bucket of ids), a bucket for each ROWS rows of the table, and put together
+from bucket totals, so a source with a third of all rows has windows as small as
+any other. Texts take no part in it. What is kept per source is its quotas.
 """
 
 from __future__ import annotations
@@ -19,14 +22,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import WORD, n_words, stored, text_of
+from heddle.llm.common import WORD, field, joined, n_words, numbered, stored, text_of
 
 BLOCK = 32
-SHARDS = 1024
-BUCKETS = 256
+SHARDS, RUN = 1024, 1024
+#: About how many rows share a window, and the fewest buckets.
+ROWS, BUCKETS = 50_000, 256
+#: As many sources as this have their quotas sent to all tasks: 24 kB each at most.
+SOURCES = 1024
 WEIGHTS = (5, 2, 1)
-#: A prime above any number of blocks in a shard: multiplying by it permutes them.
-STRIDE = 2654435761
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
@@ -92,30 +96,29 @@ def _seats(parties: DataFrame, group: list[str], key: str) -> DataFrame:
     return p.select(*[F.col(f"__p.{c}") for c in parties.columns], (F.col("__lo") + F.coalesce("__won", F.lit(0))).alias("quota"))
 
 
-def _plan(rows: DataFrame, block: int, seed: int, weights: tuple[int, ...]) -> DataFrame:
-    """One row for each source: totals, target, bucket offsets and shard quotas (at most BUCKETS and SHARDS of them)."""
-    totals = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
+def _plan(totals: DataFrame, block: int, seed: int, weights: tuple[int, ...]) -> DataFrame:
+    """One row for each source: totals, target, blocks of a shard, and quotas of its shards (at most SHARDS of them)."""
     targets = source_targets(totals, weights)
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        totals.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
-        .groupBy(F.col("source").alias("o_source"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "start"))).alias("starts"))
-    )
     s = targets.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("cap", 2 * F.col("blocks"))
     # The last block of a stream may be short: a target is that share of the source's blocks.
     s = s.withColumn("words", F.col("target")).withColumn("target", F.when(F.col("source_size") > 0, F.col("words") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
     s = s.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy())).cast("long"))
     s = _seats(s, [], "source").withColumn("target", F.col("words")).drop("seats", "cap", "words")
-    # Shards: equal runs of blocks, at most SHARDS of a source; the last may be shorter.
-    s = s.withColumn("run", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("blocks") / SHARDS)))
+    # Shards: equal runs of blocks; the last may be shorter.
+    s = s.withColumn("run", F.greatest(F.lit(RUN).cast("long"), F.ceil(F.col("blocks") / SHARDS)))
     shards = s.where("blocks > 0").select("source", "quota", "run", "blocks", F.explode(F.expr("sequence(0L, (blocks - 1) div run)")).alias("shard"))
     shards = shards.withColumn("held", F.least(F.col("run"), F.col("blocks") - F.col("shard") * F.col("run")))
     shards = shards.select("source", "shard", F.col("held").cast("double").alias("target"), (2 * F.col("held")).alias("cap"), F.col("quota").alias("seats"), "held")
     quotas = _seats(shards, ["source"], "shard")
-    quotas = quotas.groupBy(F.col("source").alias("q_source")).agg(F.array_sort(F.collect_list(F.struct("shard", "held", F.col("quota"), F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("held")).alias("turn")))).alias("shards"))
-    s = s.join(offsets, F.col("source").eqNullSafe(F.col("o_source"))).join(quotas, F.col("source").eqNullSafe(F.col("q_source")), "left")
-    return s.select(F.col("source").alias("p_source"), "source_size", "target", "run", "starts", "shards")
+    turn = F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.col("held"))
+    quotas = quotas.groupBy(F.col("source").alias("q_source")).agg(F.array_sort(F.collect_list(F.struct("shard", "held", "quota", turn.alias("turn")))).alias("shards"))
+    s = s.join(quotas, F.col("source").eqNullSafe(F.col("q_source")), "left")
+    return s.select(_named("source"), "source_size", "target", "run", "shards")
+
+
+def _named(source: str):
+    """A source's name that is never null, to join and to group by."""
+    return F.coalesce(F.concat(F.lit("1"), F.col(source).cast("string")), F.lit("0")).alias("s_key")
 
 
 def mix(docs: DataFrame, *, block: int = BLOCK, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -126,56 +129,67 @@ def mix(docs: DataFrame, *, block: int = BLOCK, seed: int = 17, weights: tuple[i
     size 0 and take nothing; a null source is a source of its own, sorted last.
     Repeated rows are rows of their own. Rows with the same id and size are
     interchangeable, so reruns agree on any partitioning. An empty table gives
-    no rows; other columns are neither read nor clash.
-    """
-    rows = docs.select("doc_id", "source", F.col("text").alias("__text"), *keep)
-    found = mix_rows(rows, block=block, seed=seed, weights=weights, keep=keep)
-    return found.select("doc_id", "size", "source_size", "target", "taken", "picks", *keep)
-
-
-def mix_rows(docs: DataFrame, *, block: int = BLOCK, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """What ``mix`` gives, from rows whose text is ``__text``; ``source`` stays."""
-    rows = docs.select(
-        "doc_id", "source", n_words(text_of("__text")).alias("size"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket"),
-        F.xxhash64(F.lit(seed + 1), "doc_id").alias("turn"), *keep,
-    )
-    rows = stored(rows, "mix-sizes")
-    plan = stored(_plan(rows, block, seed, weights), "mix-plan")
-    inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-    rows = rows.withColumn("start", F.col("inner") + F.element_at("starts", F.col("bucket")))
-    pick = f"""
-        transform(sequence(start div {block}, (start + size - 1) div {block}), b -> named_struct(
-          'from', greatest(b * {block}, start) - start,
-          'until', least((b + 1) * {block}, start + size) - start,
-          'copies', (with_shard(b))))
+    no rows; other columns than ``keep`` are neither read nor clash.
     """
-    # shards[b div run]: quota = whole rounds over its blocks + the rest by the seeded permutation
-    shard = "shards[cast(b div run as int)]"
-    copies = f"cast({shard}.quota div {shard}.held + if(pmod((b % run) * {STRIDE} + {shard}.turn, {shard}.held) < {shard}.quota % {shard}.held, 1, 0) as int)"
-    picks = F.expr(f"if(size > 0, {pick.replace('(with_shard(b))', copies)}, array())")
-    rows = rows.withColumn("picks", picks)
+    rows = docs.select("doc_id", "source", n_words(text_of()).alias("size"), *keep)
+    rows = stored(rows.withColumns({"turn": F.xxhash64(F.lit(seed + 1), "doc_id"), "s_key": _named("source")}), "mix-sizes")
+    buckets = max(BUCKETS, rows.count() // ROWS)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)).cast("int"))
+    totals = stored(rows.groupBy("source", "s_key", "bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "mix-buckets")
+    plan = _plan(totals, block, seed, weights).join(totals.groupBy("s_key").agg(F.sum("n").alias("n")), "s_key")
+    plan = stored(plan, "mix-plan")
+
+    before = Window.partitionBy("s_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("s_key", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")).alias("offset"))
+    inside = Window.partitionBy("s_key", "bucket").orderBy("turn", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long"))).join(offsets, ["s_key", "bucket"])
+    rows = rows.select("doc_id", "size", *keep, "s_key", (F.col("inner") + F.col("offset")).alias("start"))
+    if plan.count() <= SOURCES:
+        rows = rows.join(F.broadcast(plan), "s_key")
+    else:
+        rows = joined(stored(rows, "mix-starts"), plan, ["s_key"], "n")
+    # Of a shard the blocks [turn, turn + rest) are taken once more than the others; past the shard's end they go on at its start.
+    picks = f"""if(size = 0, cast(array() as array<struct<from:bigint,until:bigint,copies:int>>), flatten(transform(
+        sequence(start div ({block} * run), (start + size - 1) div ({block} * run)), k -> transform(array(shards[cast(k as int)]), q -> filter(transform(array(
+            named_struct('a', 0L, 'b', greatest(0L, q.turn + q.quota % q.held - q.held), 'more', 1),
+            named_struct('a', greatest(0L, q.turn + q.quota % q.held - q.held), 'b', q.turn, 'more', 0),
+            named_struct('a', q.turn, 'b', least(q.held, q.turn + q.quota % q.held), 'more', 1),
+            named_struct('a', least(q.held, q.turn + q.quota % q.held), 'b', q.held, 'more', 0)),
+          s -> named_struct(
+            'from', greatest({block} * (k * run + s.a), start) - start,
+            'until', least({block} * (k * run + s.b), start + size) - start,
+            'copies', cast(q.quota div q.held + s.more as int))),
+          s -> s.from < s.until))[0])))"""
     taken = F.expr("aggregate(picks, 0L, (t, p) -> t + (p.until - p.from) * p.copies)")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "picks", *keep)
+    rows = rows.withColumn("picks", F.expr(picks)).withColumn("taken", taken)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "picks", *keep)
 
 
 def mixed_documents(docs: DataFrame, *, block: int = BLOCK, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of ``docs``: one row for each pass over a document that takes words of it.
 
-    A pass that takes the whole text leaves it as it is; one that takes some of
-    its blocks joins their words by a space. ``n_chars``, if there, is counted
-    anew. Documents of which nothing is taken have no row.
+    A pass that takes the whole text leaves it as it is; one that takes a part
+    (of three documents a shard at most) joins its words by a space. The second
+    pass has an id of its own, -1 - doc_id of a number and doc_id + "#2" of a
+    text, so ids stay unique where those of ``docs`` are and are not negative.
+    ``n_chars``, if there, is counted anew. Documents of which nothing is taken,
+    null and empty texts among them, have no row; repeated rows are documents of
+    their own; other columns, whatever their names, keep their values. An empty
+    table gives no rows.
     """
-    kept = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    clash = docs.select("doc_id", "source", *[F.col(c).alias(f"__{c}") for c in kept])
-    found = mix_rows(clash, block=block, seed=seed, keep=tuple(f"__{c}" for c in kept))
-    found = found.withColumn("__pass", F.explode(F.array(F.lit(1), F.lit(2)))).where(F.exists("picks", lambda p: p["copies"] >= F.col("__pass")))
-    whole = F.forall("picks", lambda p: p["copies"] >= F.col("__pass"))
-    words = F.regexp_extract_all("__text", F.lit(WORD), 0)
-    part = F.expr("array_join(flatten(transform(filter(picks, p -> p.copies >= __pass), p -> slice(__words, cast(p.from as int) + 1, cast(p.until - p.from as int)))), ' ')")
-    found = found.withColumn("__words", F.when(~whole, words)).withColumn("__text", F.when(whole, F.col("__text")).otherwise(part))
-    columns = {"doc_id": F.col("doc_id"), "source": F.col("source")} | {c: F.col(f"__{c}") for c in kept}
-    if "n_chars" in kept:
-        columns["n_chars"] = F.char_length("__text").cast(docs.schema["n_chars"].dataType)
+    rows = numbered(docs, "mix-rows")
+    found = mix(rows.select("key", *[field(c).alias(c) for c in ("doc_id", "source", "text")]), block=block, seed=seed, keep=("key",))
+    found = found.select("key", "picks").where(F.exists("picks", lambda p: p["copies"] > 0))
+    found = rows.join(found, "key").withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.col("picks.copies")))))
+    whole = F.forall("picks", lambda p: p["copies"] >= F.col("pass"))
+    words = F.when(~whole, F.regexp_extract_all(field("text"), F.lit(WORD), 0))
+    found = found.withColumn("all", whole).withColumn("words", words)
+    part = F.expr("array_join(flatten(transform(filter(picks, p -> p.copies >= pass), p -> slice(words, cast(p.from as int) + 1, cast(p.until - p.from as int)))), ' ')")
+    found = found.withColumn("part", F.when(F.col("all"), field("text")).otherwise(part))
+    columns = {c: field(c) for c in docs.columns} | {"text": F.col("part")}
+    kind = docs.schema["doc_id"].dataType
+    second = F.concat("whole.doc_id", F.lit("#2")) if kind.typeName() == "string" else (-1 - F.col("whole.doc_id")).cast(kind)
+    columns["doc_id"] = F.when(F.col("pass") == 1, F.col("whole.doc_id")).otherwise(second)
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.char_length("part").cast(docs.schema["n_chars"].dataType)
     return found.select(*[columns[c].alias(c) for c in docs.columns])

@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heddle.llm.common import stored, text_of
+from heddle.llm.common import Sieve, field, joined, numbered, stored
 from heddle.llm.components import components
 from heddle.llm.units import CHUNK, dealt, forest, groups
 
@@ -58,20 +59,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > many, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = (), name: str = "fp") -> DataFrame:
-    """doc_id and ``keep``, then the fingerprint as a signed 64-bit integer; null texts are empty."""
-    carried = [c for c in keep if c not in ("doc_id", "text")]
-    out = ["doc_id", *(["text"] if "text" in keep else []), *carried]
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, then ``fp``, the fingerprint as a signed 64-bit integer; null texts are empty."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint((t or "").encode(), shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            passed = [b.column(0), *([b.column(1)] if "text" in keep else []), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays([*passed, pa.array(fps.view(np.int64))], names=[*out, name])
+            *kept, texts = b.columns
+            fps = np.fromiter((fingerprint((t or "").encode(), shingle) for t in texts.to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
-    rows = docs.select("doc_id", "text", *carried)
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out]
-    return rows.mapInArrow(of, ", ".join([*kinds, f"`{name}` long"]))
+    rows = docs.select(*keep, "text")
+    return rows.mapInArrow(of, T.StructType([*[rows.schema[c] for c in keep], T.StructField("fp", T.LongType())]))
 
 
 def _masks() -> tuple[list[int], list[list[int]]]:
@@ -126,13 +124,13 @@ def links(values: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def named_values(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(v, component_id) for each distinct ``fp`` of ``rows`` (doc_id, fp)."""
-    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-values")
+    """(fp, root, component_id, n) for each distinct ``fp`` of ``rows`` (doc_id, fp), ``n`` of them."""
+    values = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-values")
     found = stored(links(values.select("fp"), chunk), "simhash-links")
     roots = components(found)
-    grouped = values.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return grouped.join(ids, "root").select(F.col("fp").alias("v"), "root", "component_id")
+    grouped = stored(values.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "simhash-roots")
+    ids = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    return stored(joined(grouped, ids, ["root"], "members").select("fp", "root", "component_id", "n"), "simhash-named")
 
 
 def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
@@ -145,18 +143,24 @@ def near_groups(docs: DataFrame, *, shingle: int = SHINGLE, chunk: int = CHUNK)
     """
     rows = stored(fingerprints(docs, shingle), "simhash-fps")
     named = named_values(rows, chunk)
-    return rows.join(named, F.col("fp") == F.col("v")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined(rows, named, ["fp"], "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id, null ids last, repeated ids by fingerprint.
 
-    Columns are untouched. Texts without words are one component.
+    Rows and columns, whatever their names, are untouched. Null texts and texts
+    without words are one component with fingerprint zero; of rows that agree
+    in id and fingerprint one stays, any. Only rows that may have to go are
+    moved. An empty table gives no rows.
     """
-    rows = fingerprints(docs, keep=tuple(docs.columns), name="__fp").withColumn("__row", F.monotonically_increasing_id())
-    rows = stored(rows, "simhash-rows")
-    slim = rows.select("doc_id", F.col("__fp").alias("fp"), F.col("__row").alias("row"))
-    named = named_values(slim.select("doc_id", "fp"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row")).alias("best")
-    kept = slim.join(named, F.col("fp") == F.col("v")).groupBy("root").agg(best).select(F.col("best.row").alias("__kept"))
-    return rows.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)
+    rows = numbered(docs, "simhash-rows")
+    slim = rows.select("key", field("doc_id").alias("doc_id"), field("text").alias("text"))
+    slim = stored(fingerprints(slim, keep=("key", "doc_id")), "simhash-fps")
+    named = named_values(slim)
+    rooted = stored(joined(slim, named, ["fp"], "n").select("key", "doc_id", "fp", "root"), "simhash-rooted")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "key")).alias("best")
+    kept = stored(rooted.groupBy("root").agg(best, F.count("*").alias("n")), "simhash-kept")
+    gone = stored(joined(rooted, kept.where("n > 1"), ["root"], "n").where("key <> best.key").select("key"), "simhash-gone")
+    maybe, stay = Sieve(gone).split(rows)
+    return stay.unionByName(maybe.join(gone, "key", "left_anti")).select("whole.*")

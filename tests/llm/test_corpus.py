@@ -100,7 +100,7 @@ def test_index_carries_the_result(docs, monkeypatch):
 
 def test_suspects_are_never_missed(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
-    some = exact_dedup.Suspects(keys.limit(700))
+    some = common.Sieve(keys.limit(700))
     maybe, not_ = some.split(keys)
     assert maybe.count() + not_.count() == 5000 and not_.join(keys.limit(700), "key").count() == 0 and not_.count() > 3500
 
@@ -125,7 +125,7 @@ def test_stages_keep_foreign_columns(spark, rows, stage):
     out = stage(df)
     assert out.columns == df.columns
     got = out.collect()
-    assert got and all(tuple(r)[5:] == tuple(1000 * r[0] + k for k in range(len(CLASHES))) for r in got)
+    assert got and all(tuple(r)[5:] == tuple(1000 * max(r[0], -1 - r[0]) + k for k in range(len(CLASHES))) for r in got)
 
 
 # Mixing
@@ -187,12 +187,24 @@ def test_mixed_documents_follow_the_picks(docs):
     assert out.columns == docs.columns
     sums = Counter()
     for r in out.where("doc_id is not null").collect():
-        sums[r.doc_id] += len(WORD.findall(r.text))
+        sums[max(r.doc_id, -1 - r.doc_id)] += len(WORD.findall(r.text))
         assert r.n_chars == len(r.text)
     single = {i: t for (i, _), t in taken.items() if i != 20 and t}
     assert {i: sums[i] for i in single} == single
 
 
+def test_few_documents_are_cut(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randrange(20, 400)), ("a", "b", "c")[min(2, i % 5)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [(r.doc_id, r.text) for r in mixing.mixed_documents(df).collect()]
+    assert len({i for i, _ in out}) == len(out)
+    size = sum(len(t.split()) for _, t, _ in rows)
+    cut = [i for i, t in out if t != rows[max(i, -1 - i)][1]]
+    assert 0 < len(cut) <= 2 * 3 * (size / (mixing.BLOCK * mixing.RUN) + 3)
+    assert all(t in " ".join(rows[max(i, -1 - i)][1].split()) or i in cut for i, t in out)
+
+
 # Packing
 
 
