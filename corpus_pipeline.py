@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage reads all rows of its input and takes any extra columns along,
+whatever their names. Null and empty texts, repeated rows, ties and empty
+tables are defined in the docstrings of the operators that the stages call.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heddle.llm import exact_dedup, langid, mixing, packing, simhash
 from heddle.llm.catalog import vocabulary
+from heddle.llm.common import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language; texts without letters or a leading language go."""
+    """Documents in an identified language; null texts, texts without letters or without a leading language go. Repeated rows stay or go together."""
     return langid.keep_identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest as written, then the smallest id, null ids last."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates: the smallest id, null ids last. Texts without words are one component."""
     return simhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target weights: parts left out go, repeated parts come twice."""
+    """The mix of sources at their target weights: documents left out go, repeated ones come twice, the second time with an id of their own. Null is a source."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces."""
+    """The packed pieces; a null or empty text is a piece of the end id alone."""
     return packing.pack(docs, vocabulary())
 
 
@@ -40,8 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES in turn to ``documents``."""
+    """Applies STAGES in turn to ``documents``; each reads the Parquet files that the one before it wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
