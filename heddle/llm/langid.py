@@ -2,22 +2,23 @@
 
 Each word gets a score for each language: the mean log-probability of its
 letter n-grams, hashed into a fixed table. Its script narrows the candidates to
-languages that were seen in that script. Viterbi then labels all words of a
+languages that were seen in that script; only those are scored. Viterbi then labels all words of a
 text, paying a penalty for each switch of language, so stray look-alikes don't
 break a span but a quoted passage in another language is one.
 
-Training counts n-grams of a sample of labelled rows of about ``sample_rows``
-rows (documented bound); rows are drawn by a hash of their id. What reaches the
-driver is one row for each (language, table cell), whatever the input.
+Training counts n-grams of a sample of about ``sample_rows`` labelled rows of
+each language (documented bound); rows are drawn by a hash of their id. What
+reaches the driver is one row for each (language, table cell), whatever the
+input.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled rows to learn from, about: the chance of each row is set so that this many are expected.
-SAMPLE_ROWS = 6000
+from heddle.errors import DatasetError
+
+#: Labelled rows to learn from, about, of each language: the chance of each row is set so that this many are expected.
+SAMPLE_ROWS = 2000
 CELLS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
-#: Log-units: weight of a word's mean score, price of a switch, and what a language outside the candidates of a script loses.
-WORD_WEIGHT, SWITCH, OUTSIDE = 2.0, 8.0, 20.0
+#: Log-units: weight of a word's mean score, price of a switch, and the score of languages that aren't candidates: no path pays that for a word.
+WORD_WEIGHT, SWITCH, OUTSIDE = 2.0, 8.0, -1e6
+#: Languages whose tables are sent to every task: 256 kB each.
+MOST_LANGUAGES = 1024
 #: A language is a candidate for a script that has at least this share of its letters.
 LEAST_SHARE = 0.01
 CACHED = 300_000
@@ -40,10 +45,30 @@ TOGETHER = 2_000_000
 
 UNDETERMINED = "und"
 NAMES = ("lang_pred", "score", "n_spans", "spans")
-#: Numerals that aren't digits, such as ², ½, ① and 〇: they end a word, as digits do.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
-_WORDS, _WORD_SPANS = _WORD.findall, _WORD.finditer
+_WORD = re.compile(r"[^\W\d_]+")
+_RUNS, _RUN_SPANS = _WORD.findall, _WORD.finditer
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters. Numerals that aren't digits, such as ², ½, ① and 〇, end a word, as digits do."""
+    found = _RUNS(text)
+    if "".join(found).isalpha():
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where each of ``words_of`` stands."""
+    out = []
+    for m in _RUN_SPANS(text):
+        at, run = m.start(), m[0]
+        for letters, part in groupby(run, str.isalpha):
+            n = len(list(part))
+            if letters:
+                out.append((at, at + n))
+            at += n
+    return out
+
 
 #: First code points of the ranges in which one script is written; between them, "other".
 RANGES = (
@@ -85,18 +110,28 @@ def cells_of(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nd
 class Model:
     langs: list[str]
     table: np.ndarray  # CELLS x languages: log-probabilities less their mean
-    outside: dict[str, np.ndarray]  # script -> loss of each language
+    candidates: dict[str, np.ndarray]  # script -> the languages that are written in it, or all if none is known to be
 
     def words(self, words: list[str]) -> np.ndarray:
-        """One row of scores for each word."""
+        """One row of scores for each word: those of its script's candidates; all others have OUTSIDE."""
+        rows = np.full((len(words), len(self.langs)), OUTSIDE, np.float32)
+        scripts: dict[str, list[int]] = {}
+        for i, w in enumerate(words):
+            scripts.setdefault(script_of(w[0]), []).append(i)
+        for script, at in scripts.items():
+            cols = self.candidates[script]
+            rows[np.ix_(at, cols)] = self._scores([words[i] for i in at], cols) if len(cols) > 1 else 0
+        return rows
+
+    def _scores(self, words: list[str], cols: np.ndarray) -> np.ndarray:
         starts, orders = cells_of(words)
-        total = np.zeros((int(starts[-1]) + len(words[-1]) + 2, len(self.langs)), np.float32)
+        table = self.table if len(cols) == len(self.langs) else self.table[:, cols]
+        total = np.zeros((int(starts[-1]) + len(words[-1]) + 2, len(cols)), np.float32)
         n = np.zeros(len(total), np.float32)
         for cells, inside in orders:
-            total[inside] += self.table[cells[inside]]
+            total[inside] += table[cells[inside]]
             n += inside
-        row = np.add.reduceat(total, starts) / np.add.reduceat(n, starts)[:, None] * np.float32(WORD_WEIGHT)
-        return row - np.stack([self.outside[script_of(w[0])] for w in words])
+        return np.add.reduceat(total, starts) / np.add.reduceat(n, starts)[:, None] * np.float32(WORD_WEIGHT)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +139,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen.setdefault(lang, Counter()).update(_WORDS(text.lower()))
+            seen.setdefault(lang, Counter()).update(words_of(text.lower()))
     for lang, words in seen.items():
         cells, scripts = np.zeros(CELLS), Counter()
         for word, n in words.items():
@@ -122,11 +157,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from ``doc_id``, ``text`` and ``lang``; rows without a language don't count."""
+    """Learns from ``doc_id``, ``text`` and ``lang``; rows without a language or text don't count.
+
+    Of each language about ``sample_rows`` rows are drawn by a hash of their id,
+    and all where there are no more, so a rare language is learned too.
+    """
     rows = labelled.where("lang is not null and text is not null")
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(sample_rows / n * (1 << 30)))
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise DatasetError(f"more than {MOST_LANGUAGES} languages")
+    large = [(r["lang"], int(sample_rows / r["count"] * (1 << 30))) for r in sizes if r["count"] > sample_rows]
+    if large:
+        chances = F.broadcast(labelled.sparkSession.createDataFrame(large, "lang string, chance long"))
+        rows = rows.join(chances, "lang", "left").where(F.col("chance").isNull() | (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < F.col("chance")))
+    # At most CELLS rows of a language.
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts["lang"]))
     table = np.zeros((CELLS, len(langs)))
@@ -141,11 +185,11 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if langs:
         table -= table.mean(axis=1, keepdims=True)
     total = sum(letters.values()) if langs else np.zeros(0)
-    outside = {}
+    candidates = {}
     for s, m in letters.items():
-        candidate = m >= LEAST_SHARE * np.maximum(total, 1)
-        outside[s] = np.where(candidate | ~candidate.any(), 0.0, OUTSIDE).astype(np.float32)
-    return Model(langs, table.astype(np.float32), outside)
+        own = np.flatnonzero(m >= LEAST_SHARE * np.maximum(total, 1)) if langs else np.zeros(0, np.int64)
+        candidates[s] = own if len(own) else np.arange(len(langs))
+    return Model(langs, table.astype(np.float32), candidates)
 
 
 class Labeller:
@@ -259,7 +303,7 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[
             outs, texts, ids, held = [], [], [], 0
             for text in b.column(1).to_pylist():
                 lower = (text or "").lower()
-                ids.append(labeller.ids(_WORDS(lower)))
+                ids.append(labeller.ids(words_of(lower)))
                 texts.append(lower if spans else "")
                 held += len(ids[-1])
                 if held >= TOGETHER:
@@ -302,6 +346,6 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def _spans(text: str, path: np.ndarray, cuts: np.ndarray, langs: list[str]) -> list[dict]:
-    at = [m.span() for m in _WORD_SPANS(text)]
+    at = word_spans(text)
     edges = [0, *cuts.tolist(), len(path)]
     return [{"start": at[i][0], "end": at[j - 1][1], "lang": langs[path[i]]} for i, j in zip(edges, edges[1:]) if j > i]

@@ -552,9 +552,42 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in langid.identify(df, nothing).collect()} == {"und"}
 
 
+def test_words_are_runs_of_letters():
+    odd = "".join(c for c in map(chr, range(0x11_0000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    rng = random.Random(2)
+    for _ in range(2000):
+        text = "".join(rng.choice(["a", "ß", "日", "я", "1", "_", " ", "-", "²", "〇", rng.choice(odd)]) for _ in range(rng.randrange(12)))
+        want = [m for m in "".join(c if c.isalpha() else " " for c in text).split()]
+        assert langid.words_of(text) == want == [text[i:j] for i, j in langid.word_spans(text)]
+
+
+def test_scripts_narrow_and_scores_are_means(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([(" ".join(EN), "en"), (" ".join(DE), "de"), (" ".join(RU), "ru")] * 3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = model.words(["hund", "кошка", "the"])
+    assert got[0, 2] == got[2, 2] == langid.OUTSIDE and got[1].tolist() == [langid.OUTSIDE, langid.OUTSIDE, 0]
+    for row, word in ((got[0], "hund"), (got[2], "the")):
+        framed, cells = f"^{word}$", []
+        for n in langid.ORDERS:
+            for i in range(len(framed) - n + 1):
+                h = sum(ord(c) * int(langid._MIX[k]) for k, c in enumerate(framed[i : i + n])) % (1 << 64)
+                h = (h ^ (h >> 31)) * int(langid._MIX[1]) % (1 << 64)
+                cells.append((h >> 40) % langid.CELLS)
+        assert row[:2] == pytest.approx(langid.WORD_WEIGHT * model.table[cells].mean(axis=0)[:2], rel=1e-4)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(3000)] + [(9000, "der hund liegt im haus", "de")]
+    df = spark.createDataFrame([*rows, (None, "the end", "en"), rows[0]], "doc_id long, text string, lang string")
+    model = langid.train(df, sample_rows=50)
+    assert model.langs == ["de", "en"]
+    got = langid.identify(spark.createDataFrame([(1, "der hund"), (1, "der hund"), (2, "the cat")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["de", "de", "en"]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
-    model = langid.Model(["a", "b", "c"], np.zeros((langid.CELLS, 3), np.float32), {s: np.zeros(3, np.float32) for s in langid.SCRIPTS})
+    model = langid.Model(["a", "b", "c"], np.zeros((langid.CELLS, 3), np.float32), {s: np.arange(3) for s in langid.SCRIPTS})
     labeller = langid.Labeller(model)
     labeller.scores = rng.normal(0, 4, (30, 3)).astype(np.float32)
     docs = [rng.integers(0, 30, n).astype(np.int32) for n in (1, 7, 0, 6, 5)]
