@@ -1,22 +1,24 @@
-"""Substring de-duplication: passages that repeat across documents, by shared seeds and verified alignments.
-
-A repeated passage needn't begin or end at a line, so *seeds* are taken from
-the running words: SEED words from every anchor. Anchors are the minima of a
-hash of five-word shingles in any REACH consecutive places (winnowing). They
-depend on the words alone, and every SEED + REACH - 1 = 24 words hold at least
-one anchor with its whole seed, the same one wherever the words stand.
-
-Two passages of 50 words or more with a Jaccard similarity of SIMILARITY or more
-of their shingles, one made from the other by changing, adding or dropping
-words, have 24 unchanged words in a row: each edit costs four shingles or more
-on a side, and too few may be lost for edits to be everywhere. So they share a
-seed, for certain. (MinHash bands of the seeds would find less.)
-
-Seeds that occur in one document only are dropped after a map-side combined
-count. The others are aligned with the first document that holds them: seeds
-that follow each other at one distance are a run, runs are extended word by
-word over the text around them, through edits as long as the similarity of the
-whole is SIMILARITY or more, and what has PARAGRAPH words then is a passage.
+"""Substring de-duplication: passages that repeat across documents, by MinHash bands of paragraphs and verified alignments.
+
+A repeated passage needn't begin or end at a line, so every PARAGRAPH
+consecutive words of a text are a paragraph, a set of five-word shingles. ROWS
+MinHashes of a paragraph make a *band*; paragraphs that agree in a band collide.
+Paragraphs that follow each other mostly have the same MinHashes, so a text has
+few bands of its own: about 0.18 a word for two rows. ``bands`` tunes how many
+are needed: a passage of 50 words or more whose copy has a Jaccard similarity of
+SIMILARITY keeps PARAGRAPH words in a row unchanged, those collide for certain,
+and so one band is enough.
+
+Bands that occur in one document only are dropped. The others are aligned with
+the first document that holds them, at the shingle that is the band's first
+MinHash: bands that stand at one distance with equal words between them are a
+run (a running checksum of the shingles tells), runs are extended word by word
+over the text around them, through edits as long as the Jaccard similarity of
+the whole is SIMILARITY or more, and what has LEAST words then is a passage.
+
+Scale: a bitmap of the bands that are shared, 16 MB at most, is sent to all
+tasks, so bands of one document aren't moved to find their partners; bands that
+very many documents share are joined where they are (``common.joined``).
 """
 
 from __future__ import annotations
@@ -30,20 +32,39 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import stored, text_of
+from heddle.llm.common import Sieve, joined, stored, text_of
 from heddle.llm.components import components
 from heddle.llm.units import CHUNK
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: The fewest words of a passage, the words of a seed, and the places of which one is an anchor.
-PARAGRAPH, SEED, REACH = 20, 12, 13
-SHINGLES = SEED - SHINGLE + 1
-#: Words on each side of a run that it may extend over: 50 more without a seed are under SIMILARITY by themselves.
+#: Words of a paragraph, MinHashes of a band, the share of similar passages to find, and the fewest words of a passage.
+PARAGRAPH, ROWS, RECALL, LEAST = 24, 2, 0.99, 20
+SHINGLES = PARAGRAPH - SHINGLE + 1
+#: Words on each side of a run that it may extend over: 50 more without a band are under SIMILARITY by themselves.
 CONTEXT = 50
 CACHED = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
+def bands(words: int, paragraph: int = PARAGRAPH, rows: int = ROWS, recall: float = RECALL) -> int:
+    """How many bands find a passage of ``words`` words with as many changed words, evenly spread, as SIMILARITY allows.
+
+    Counts the paragraph with the fewest changes alone: one of similarity s
+    collides in a band with the chance s ** rows.
+    """
+    whole, set_ = words - SHINGLE + 1, paragraph - SHINGLE + 1
+    most = int(whole * (1 - SIMILARITY) / (SHINGLE * (1 + SIMILARITY)))
+    changed = np.zeros(words, bool)
+    changed[[words * (k + 1) // (most + 1) for k in range(most)]] = True
+    lost = np.convolve(changed, np.ones(SHINGLE), "valid") > 0
+    same = set_ - int(min(np.convolve(lost, np.ones(set_), "valid")))
+    chance = (same / (2 * set_ - same)) ** rows
+    return 1 if chance >= recall else int(np.ceil(np.log(1 - recall) / np.log1p(-chance)))
+
+
+BANDS = max(map(bands, range(50, 500)))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _ODD[4]
     x = (x ^ (x >> np.uint64(29))) * _ODD[5]
@@ -76,62 +97,56 @@ def shingles_of(hashes: np.ndarray) -> np.ndarray:
     return _mix(total)
 
 
-def anchors(shingles: np.ndarray) -> np.ndarray:
-    """Where seeds start, given the shingles of a text of at least PARAGRAPH words."""
-    order = _mix(shingles[: len(shingles) - SHINGLES + 1] * _ODD[6])
-    if len(order) <= REACH:
-        return np.array([int(order.argmin())])
-    least = _extreme(order, REACH, np.minimum)
-    edge = np.zeros(REACH - 1, np.uint64)
-    return np.flatnonzero(_extreme(np.concatenate([edge, least, edge]), REACH, np.maximum) == order)
-
+def bands_of(text: bytes, words: dict, n_bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(place, key, checksum) of a text's bands; None if it has no paragraph.
 
-def paragraphs_of(text: bytes, words: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(start word, shingles of each seed, class) of a text; None if it has under PARAGRAPH words."""
+    The place is that of the first shingle with the band's first MinHash, the
+    checksum that of all shingles before it. A band that paragraphs in a row
+    share is there once.
+    """
     cut = text.lower().split()
     if len(cut) < PARAGRAPH:
         return None
-    hashes = np.fromiter(map(words.__getitem__, cut), np.uint64, len(cut))
-    shingles = shingles_of(hashes)
-    at = anchors(shingles)
-    own = shingles[at[:, None] + np.arange(SHINGLES)]
-    told = own[:, [*range(0, SHINGLES - 1, SHINGLE), SHINGLES - 1]]  # every word is in one of these
-    kind = _mix((told * _ODD[: told.shape[1]]).sum(axis=1, dtype=np.uint64))
-    if len(at) > 1 and len(np.unique(kind)) < len(kind):
-        # In a loop of few words anchors may follow each other: of equal seeds that overlap, the first.
-        last: dict[int, int] = {}
-        keep = []
-        for i, (p, k) in enumerate(zip(at.tolist(), kind.tolist())):
-            if p - last.get(k, -SEED) >= SEED:
-                last[k] = p
-                keep.append(i)
-        at, own, kind = at[keep], own[keep], kind[keep]
-    return at, own, kind
+    shingles = shingles_of(np.fromiter(map(words.__getitem__, cut), np.uint64, len(cut)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(_mix(shingles * _ODD[7]))])
+    found = []
+    for band in range(n_bands):
+        key = np.full(len(shingles) - SHINGLES + 1, band, np.uint64)
+        for row in range(rows):
+            k = band * rows + row
+            order = _mix(shingles ^ (_ODD[[k % 8]] * np.uint64(2 * k + 1)))
+            first = order if row == 0 else first
+            key = _mix(key * _ODD[6] + _extreme(order, SHINGLES, np.minimum))
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        at = new + first[new[:, None] + np.arange(SHINGLES)].argmin(axis=1)
+        found.append((at, key[new], sums[at]))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, kind, first): the seeds of whole texts, their class, and whether the text has the class there first."""
+    """(doc_id, at, key, sum, first): the bands of whole texts, and whether the text has the band there first."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
             which, cols = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                found = paragraphs_of(text.encode(), words)
+                found = bands_of(text.encode(), words)
                 if found is not None:
-                    at, _, kind = found
-                    first = np.zeros(len(kind), bool)
-                    first[np.unique(kind, return_index=True)[1]] = True
+                    at, key, total = found
+                    first = np.zeros(len(key), bool)
+                    first[np.unique(key, return_index=True)[1]] = True
                     which.append(np.full(len(at), i))
-                    cols.append((at, kind, first))
+                    cols.append((at, key, total, first))
             if not cols:
                 continue
-            at, kind, first = (np.concatenate(c) for c in zip(*cols))
+            at, key, total, first = (np.concatenate(c) for c in zip(*cols))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(np.concatenate(which))), pa.array(at.astype(np.int32)), pa.array(kind.view(np.int64)), pa.array(first)], names=["doc_id", "at", "kind", "first"])
+                [b.column(0).take(pa.array(np.concatenate(which))), pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(total.view(np.int64)), pa.array(first)],
+                names=["doc_id", "at", "key", "sum", "first"])
 
     rows = docs.where("doc_id is not null").select("doc_id", text_of().alias("text"))
-    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at int, kind long, first boolean")
+    return rows.mapInArrow(of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, at int, key long, sum long, first boolean")
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, chunk: int) -> DataFrame:
@@ -212,7 +227,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right, f_left, f_right = (x.split() for x in around)
             p, q = extended(hi - lo, steps(left[::-1], f_left[::-1]), steps(right, f_right))
             own = lo - p[0], hi + q[0], lo - shift - p[1], hi - shift + q[1]
-            if min(own[1] - own[0], own[3] - own[2]) >= PARAGRAPH:
+            if min(own[1] - own[0], own[3] - own[2]) >= LEAST:
                 keep.append(i)
                 cols.append(own)
         at = pa.array(keep, pa.int64())
@@ -233,7 +248,7 @@ def merged(spans: list[tuple]) -> list[list]:
 
 
 def without(spans: list[list], gone: list[list]) -> list[tuple[int, int]]:
-    """The parts of ``spans`` that lie between the spans of ``gone``, if of PARAGRAPH words or more."""
+    """The parts of ``spans`` that lie between the spans of ``gone``, if of LEAST words or more."""
     found, g = [], 0
     for lo, hi in spans:
         while g < len(gone) and gone[g][1] <= lo:
@@ -244,7 +259,7 @@ def without(spans: list[list], gone: list[list]) -> list[tuple[int, int]]:
             lo = max(lo, gone[k][1])
             k += 1
         found.append((lo, hi))
-    return [(lo, hi) for lo, hi in found if hi - lo >= PARAGRAPH]
+    return [(lo, hi) for lo, hi in found if hi - lo >= LEAST]
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,30 +293,49 @@ def repeats(docs: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     overlap, so each removed word (or edit inside a similar passage) has its
     counterpart in an earlier document and one copy of everything stays. Alignments that overlap make one passage.
     Passages that were aligned are a cluster, ``cluster_id``, whose smallest id
-    is ``first_doc_id``. Passages have PARAGRAPH words or more and end where
+    is ``first_doc_id``. Passages have LEAST words or more and end where
     words differ, or up to four words before the edge behind a last edit. Only
-    passages that occur in two documents (ids) or more are listed; others,
-    null and short texts and rows without an id give no row. Repeated rows with
-    one id are one document; an empty table gives no rows; other columns are
-    ignored. ``chunk`` bounds the words whose contexts are fetched at once.
+    passages that occur in two documents are listed; others, null and short
+    texts and rows without an id give no row. Rows that repeat an id and a text
+    are one document; rows that repeat an id with different texts are documents
+    of their own, in the order of their texts' hashes. An empty table gives no
+    rows; other columns are ignored. ``chunk`` bounds the words whose contexts
+    are fetched at once.
     """
-    all_ = stored(paragraphs(docs), "paragraphs")
-    shared = all_.where("first").groupBy("kind").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.min_by("at", "doc_id").alias("first_at"))
-    shared = stored(shared.where("first_id <> last_id").select(F.col("kind").alias("s_kind"), "first_id", "first_at"), "paragraph-classes")
-    met = all_.join(shared, F.col("kind") == F.col("s_kind")).select("doc_id", "at", "first_id", (F.col("at") - F.col("first_at")).alias("shift"))
+    rows = docs.select("doc_id", text_of().alias("text"))
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _repeats(rows, chunk)
+    # Where ids repeat, a document is known by its id and its text's hash.
+    rows = rows.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = _repeats(stored(rows, "paragraph-texts"), chunk)
+    return found.withColumns({"doc_id": F.col("doc_id.doc_id"), "first_doc_id": F.col("first_doc_id.doc_id")})
+
 
-    # One run for seeds of a document that stand at one distance from those of the first document and leave no word between them.
+def _repeats(docs: DataFrame, chunk: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    all_ = stored(paragraphs(docs), "paragraphs")
+    shared = all_.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).where("first_id <> last_id")
+    shared = stored(shared.select("key", "first_id", "n"), "paragraph-bands")
+    near = stored(Sieve(shared).split(all_)[0], "paragraph-collisions")
+    met = stored(joined(near, shared, ["key"], "n").select("key", "doc_id", "at", "sum", "first", "first_id", "n"), "paragraph-met")
+    firsts = met.where("first and doc_id = first_id").groupBy("key").agg(F.min(F.struct("at", "sum")).alias("f"), F.max("n").alias("n"))
+    met = joined(met.drop("n"), stored(firsts, "paragraph-firsts"), ["key"], "n")
+    met = met.select("doc_id", "at", "first_id", (F.col("at") - F.col("f.at")).alias("shift"), F.col("sum").bitwiseXOR(F.col("f.sum")).alias("apart"))
+
+    # One run for bands of a document that stand at one distance from those of the first document, with equal shingles between them.
     by_place = Window.partitionBy("doc_id", "first_id", "shift").orderBy("at")
-    runs = met.where("doc_id <> first_id or shift <> 0").withColumn("new", F.when(F.lag("at").over(by_place) + SEED >= F.col("at"), 0).otherwise(1))
+    runs = met.where("doc_id <> first_id or shift <> 0").withColumn("new", F.when(F.lag("apart").over(by_place) == F.col("apart"), 0).otherwise(1))
     runs = runs.withColumn("run", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = stored(runs.groupBy("doc_id", "first_id", "shift", "run").agg(F.min("at").alias("lo"), (F.max("at") + SEED).alias("hi")).drop("run"), "paragraph-runs")
+    runs = stored(runs.groupBy("doc_id", "first_id", "shift", "run").agg(F.min("at").alias("lo"), (F.max("at") + SHINGLE).alias("hi")).drop("run"), "paragraph-runs")
 
     wanted = runs.select(F.col("doc_id").alias("id"), "lo", "hi").union(runs.select("first_id", F.col("lo") - F.col("shift"), F.col("hi") - F.col("shift")))
     around = stored(_contexts(docs, wanted, chunk), "paragraph-contexts")
     own = around.select(F.col("id").alias("doc_id"), "lo", "hi", "left", "right")
     first = around.select(F.col("id").alias("first_id"), F.col("lo").alias("f_lo"), F.col("hi").alias("f_hi"), F.col("left").alias("f_left"), F.col("right").alias("f_right"))
-    both = runs.withColumns({"f_lo": F.col("lo") - F.col("shift"), "f_hi": F.col("hi") - F.col("shift")}).join(own, ["doc_id", "lo", "hi"]).join(first, ["first_id", "f_lo", "f_hi"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    place = ["first_id", "f_lo", "f_hi"]
+    met = runs.withColumns({"f_lo": F.col("lo") - F.col("shift"), "f_hi": F.col("hi") - F.col("shift")})
+    first = stored(first.join(met.groupBy(*place).agg(F.count("*").alias("n")), place), "paragraph-first-contexts")
+    both = joined(met, first, place, "n").join(own, ["doc_id", "lo", "hi"])
     both = both.select("doc_id", "first_id", "lo", "hi", "shift", "left", "right", "f_left", "f_right")
     aligned = stored(both.mapInArrow(_aligned, f"doc_id {kind}, first_id {kind}, lo int, hi int, f_lo int, f_hi int"), "paragraph-alignments")
 
@@ -316,8 +350,11 @@ def repeats(docs: DataFrame, *, chunk: int = CHUNK) -> DataFrame:
     named = found.withColumn("node", F.xxhash64("doc_id", "start"))
     passages = named.where("kept is not null")
     told = named.where("kept is null").select(F.col("doc_id").alias("first_id"), "f_lo", "f_hi", F.col("node").alias("b"))
-    roots = components(passages.where("not kept").join(told, ["first_id", "f_lo", "f_hi"]).select(F.col("node").alias("a"), "b"))
+    gone = passages.where("not kept")
+    told = stored(told.join(gone.groupBy(*place).agg(F.count("*").alias("n")), place), "passages-told")
+    roots = components(joined(gone, told, place, "n").select(F.col("node").alias("a"), "b"))
     rooted = passages.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").withColumn("cluster_id", F.coalesce("root", "node"))
     rooted = rooted.select("doc_id", "start", "end", "cluster_id", "kept")
-    firsts = rooted.groupBy("cluster_id").agg(F.min("doc_id").alias("first_doc_id"))
-    return rooted.join(firsts, "cluster_id").select("doc_id", "start", "end", "cluster_id", "first_doc_id", "kept")
+    rooted = stored(rooted, "passages-rooted")
+    firsts = stored(rooted.groupBy("cluster_id").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")), "passages-firsts")
+    return joined(rooted, firsts, ["cluster_id"], "n").select("doc_id", "start", "end", "cluster_id", "first_doc_id", "kept")

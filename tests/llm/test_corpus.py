@@ -361,7 +361,7 @@ def test_repeats(spark, empty):
     assert found == set().union(*planted.values()) | {200}
     text = {i: (t or "").split() for i, t in rows}
     for r in got:
-        assert r.end - r.start >= substring.PARAGRAPH and r.end <= len(text[r.doc_id])
+        assert r.end - r.start >= substring.LEAST and r.end <= len(text[r.doc_id])
         assert r.kept == (r.first_doc_id == r.doc_id)
     for members in planted.values():
         assert {r.first_doc_id for r in got if r.doc_id in members} == {min(members)}
@@ -379,16 +379,95 @@ def test_similar_paragraphs_join(spark):
     assert {r.doc_id for r in substring.repeats(df).collect()} == {1, 2}
 
 
-def test_every_passage_of_fifty_words_has_a_common_paragraph():
+def plain_bands(tokens, n_bands, rows):
+    """The set of (band key, first shingle) over all paragraphs, one paragraph at a time."""
+    hashes = np.array([xxhash.xxh64_intdigest(w.lower().encode()) for w in tokens], np.uint64)
+    shingles = [int(substring.shingles_of(hashes[i : i + substring.SHINGLE])[0]) for i in range(len(tokens) - substring.SHINGLE + 1)]
+    out = set()
+    for i in range(len(tokens) - substring.PARAGRAPH + 1):
+        part = np.array(shingles[i : i + substring.SHINGLES], np.uint64)
+        for band in range(n_bands):
+            key, first = np.array([band], np.uint64), None
+            for row in range(rows):
+                k = band * rows + row
+                order = substring._mix(part ^ (substring._ODD[[k % 8]] * np.uint64(2 * k + 1)))
+                first = int(part[order.argmin()]) if row == 0 else first
+                key = substring._mix(key * substring._ODD[6] + order.min())
+            out.add((int(key[0]), first))
+    return out
+
+
+@pytest.mark.parametrize("n_bands,rows", [(1, 2), (3, 2), (2, 1)])
+def test_bands_are_the_minhashes_of_all_paragraphs(n_bands, rows):
+    rng, table = random.Random(n_bands), substring._Words()
+    for n in (23, 24, 25, 60, 300):
+        tokens = words(rng, n, 5000).split()
+        found = substring.bands_of(" ".join(tokens).encode(), table, n_bands, rows)
+        if n < substring.PARAGRAPH:
+            assert found is None
+            continue
+        at, key, _ = found
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in tokens], np.uint64)
+        shingles = substring.shingles_of(hashes)
+        assert set(zip(key.tolist(), shingles[at].tolist())) == plain_bands(tokens, n_bands, rows)
+
+
+def test_bands_are_tuned():
+    assert substring.BANDS == 1 and substring.bands(50, paragraph=40) > 1
+    assert substring.bands(50, paragraph=60 - 10, rows=4) > substring.bands(50, paragraph=50, rows=2)
+
+
+def test_every_passage_of_fifty_words_has_a_common_band():
     rng = random.Random(1)
     table = substring._Words()
     for _ in range(200):
         passage = words(rng, 50, 300)
-        kinds = []
+        keys = []
         for _ in range(2):
             text = f"{words(rng, rng.randrange(60), 300)} {passage} {words(rng, rng.randrange(60), 300)}".encode()
-            kinds.append(set(substring.paragraphs_of(text, table)[2].tolist()))
-        assert kinds[0] & kinds[1]
+            keys.append(set(substring.bands_of(text, table)[1].tolist()))
+        assert keys[0] & keys[1]
+
+
+def test_repeated_ids_and_long_texts(spark):
+    rng = random.Random(31)
+    passage, other = words(rng, 90, 60_000), words(rng, 90, 60_000)
+    long = f"{words(rng, 30_000, 60_000)} {passage} {words(rng, 30_000, 60_000)}"
+    rows = [(1, passage), (1, other), (1, other), (2, other), (2, other), (3, long), (None, passage), (None, other)]
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.end - r.start, r.first_doc_id, r.kept) for r in got) == [(1, 90, 1, True), (1, 90, 1, True), (2, 90, 1, False), (3, 90, 1, False)]
+    assert len({r.cluster_id for r in got}) == 2
+    alike = substring.repeats(spark.createDataFrame([(5, passage)] * 3, "doc_id long, text string"))
+    assert alike.count() == 0  # one document
+
+
+def test_repeats_against_brute_force(spark):
+    """Exact repeats: every word inside a run of PARAGRAPH words that another document has, and no word outside such a run of LEAST."""
+    rng = random.Random(41)
+    passages = [words(rng, rng.randrange(10, 80), 60_000).split() for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        t = []
+        for _ in range(rng.randrange(1, 5)):
+            t += words(rng, rng.randrange(30), 60_000).split() + rng.choice(passages)
+        texts.append(t)
+    got = substring.repeats(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    covered = defaultdict(set)
+    for r in got:
+        covered[r.doc_id] |= set(range(r.start, r.end))
+
+    def shared(n):
+        where = defaultdict(set)
+        for i, t in enumerate(texts):
+            for k in range(len(t) - n + 1):
+                where[tuple(t[k : k + n])].add(i)
+        return {i: {k + j for k in range(len(t) - n + 1) if len(where[tuple(t[k : k + n])]) > 1 for j in range(n)} for i, t in enumerate(texts)}
+
+    surely = shared(substring.PARAGRAPH)
+    missing = sum(len(surely[i] - covered[i]) for i in surely)
+    assert missing <= 0.02 * sum(map(len, surely.values()))
+    five = shared(substring.SHINGLE)
+    assert sum(len(covered[i] - five[i]) for i in covered) <= 0.02 * sum(map(len, covered.values()))
 
 
 def edited(rng, passage, n):
