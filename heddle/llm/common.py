@@ -56,7 +56,7 @@ def joined(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFra
     return there.unionByName(rest)
 
 
-#: A sieve has about 16 bits a key and at most 2 ** WIDEST bits, in rows of 2 ** CELL_BITS.
+#: A sieve has about 8 bits a key and at most 2 ** WIDEST bits, in rows of 2 ** CELL_BITS.
 WIDEST, CELL_BITS = 27, 15
 
 
@@ -69,7 +69,7 @@ class Sieve:
     """
 
     def __init__(self, keys: DataFrame):
-        self.width = min(WIDEST, max(CELL_BITS, (16 * keys.count()).bit_length()))
+        self.width = min(WIDEST, max(CELL_BITS, (8 * keys.count()).bit_length()))
         cell, at = self._place()
         cells = keys.select(cell.alias("cell"), at.alias("at")).groupBy("cell").agg(F.bitmap_construct_agg("at").alias("bits"))
         self.cells = stored(cells.withColumnsRenamed({"cell": "b_cell", "bits": "b_bits"}), "sieve")

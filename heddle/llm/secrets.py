@@ -31,6 +31,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST_TOTAL, LEAST_PAIR = 800, 40
 #: About how many documents have their words stand for ordinary identifiers, and the number of random strings of each form.
 SAMPLE_ROWS, RANDOM_STRINGS = 1000, 2000
+#: Characters that people type in this order.
+IN_ORDER = ("abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm", "0123456789")
 #: Words of ordinary identifiers: what the models know where the documents hold few.
 ORDINARY = """account action active address agent alias amount append archive array article asset async attribute author backup balance batch block body buffer build
 button cache callback cancel category channel check child class client cluster code collection color column command comment commit common component config connection container
@@ -106,8 +108,9 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_RO
     ordinary = ordinary.select(F.explode(F.expr(joined)).alias("token"))
     digits = spark.range(RANDOM_STRINGS).select(F.substring(F.regexp_replace(F.sha2(F.concat(F.lit("n"), "id").cast("binary"), 256), "[a-f]", ""), 1, 16).alias("token"))
     digits = digits.select(F.explode(F.array("token", F.regexp_replace("token", "([0-9]{2})", "$1-"))).alias("token"))
+    runs = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in IN_ORDER])).alias("x")).select(F.explode(F.array(F.expr("repeat(x, 1000)"), F.expr("repeat(upper(x), 1000)"), F.expr("repeat(reverse(x), 100)"))).alias("token"))
     fillers = spark.range(1).select(F.explode(F.split(F.lit(ALPHABET), "")).alias("x")).where("x <> ''").select(F.expr("repeat(x, 200)").alias("token"))
-    return random.select("token", F.lit(1).alias("label")).unionByName(ordinary.unionByName(digits).unionByName(fillers).select("token", F.lit(0).alias("label")))
+    return random.select("token", F.lit(1).alias("label")).unionByName(ordinary.unionByName(digits).unionByName(runs).unionByName(fillers).select("token", F.lit(0).alias("label")))
 
 
 def train(samples: DataFrame) -> list[int]:

@@ -567,9 +567,41 @@ def test_quality_counts_and_cascade(spark, docs, rows, empty):
     assert some[0] == some[1]
 
 
+def test_cascade_order_is_that_of_counted_work(spark, docs):
+    rows = docs.select("doc_id", "text")
+    tests = quality_rules.rules()
+    first = quality_rules.ordered(rows, tests)
+    assert first == quality_rules.ordered(rows.repartition(5), tests)
+    assert [x[2] / max(1, x[1]) for x in first] == sorted((x[2] / max(1, x[1]) for x in first), reverse=True)
+    size = np.mean([len(r.text or "") for r in rows.collect()])
+    assert {n: round(w, 6) for n, w, _ in first} == {n: round(1 + r.scans * size, 6) for n, r in tests.items()}
+    told = lambda d: sorted((r.doc_id is None, r.doc_id or 0, r.failed_rule or "") for r in quality_rules.judge(d).collect())
+    assert told(docs) == told(docs.repartition(7))
+
+
 # Secrets
 
 
+def test_markov_models_on_strings_they_did_not_learn_from(spark):
+    """Recall on fresh random strings, false alarms on ordinary ones: words of documents that were held apart and names that people give."""
+    rng = random.Random(77)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text") if Path("/root/testdata/sf0.01").exists() else None
+    if docs is None:
+        pytest.skip("no test data here")
+    table = secrets.train(secrets.labelled_samples(spark, docs.where("doc_id % 2 = 0")))
+    b64, upper, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF"
+    secret = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 44))) for a in (b64, upper, hexa) for _ in range(300)]
+    apart = [w for r in docs.where("doc_id % 2 = 1").collect() for w in re.findall(r"[A-Za-z]{3,12}", r.text or "") if w.islower() or w.istitle() or w.isupper()]
+    rng.shuffle(apart)
+    ordinary = ["_".join(apart[i : i + 3]).lower() for i in range(0, 900, 3)] + ["".join(w.capitalize() for w in apart[i : i + 3]) for i in range(900, 1800, 3)] + ["/".join(apart[i : i + 4]) for i in range(1800, 3000, 4)]
+    ordinary = [w for w in ordinary if len(w) >= secrets.LEAST] + ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "qwertyuiopasdfgh", "01234567890123456789", "AbstractSingletonProxyFactoryBean", "2024-01-31T00-00-00"]
+    df = spark.createDataFrame(list(enumerate(secret + ordinary)), "doc_id long, text string")
+    hit = {r.doc_id for r in secrets.report(df, table).collect() if "random" in r.spans}
+    found, alarms = sum(i < len(secret) for i in hit) / len(secret), sum(i >= len(secret) for i in hit) / len(ordinary)
+    print("recall", found, "false alarms", alarms, [ordinary[i - len(secret)] for i in sorted(hit) if i >= len(secret)][:10])
+    assert found >= 0.95 and alarms <= 0.03
+
+
 def test_secret_spans(spark, empty):
     b64 = "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEY9qT"
     texts = odd_texts() + [
