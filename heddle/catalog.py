@@ -65,6 +65,11 @@ def scan_project(t):
     return scans.scan(t._spark, t.path("lineitem"), "l_orderkey, l_extendedprice")
 
 
+@query("SELECT * FROM lineitem")
+def scan_wide(t):
+    return scans.scan(t._spark, t.path("lineitem"))
+
+
 @query("SELECT o_totalprice, o_orderkey, o_totalprice AS o_totalprice_2 FROM orders")
 def scan_reorder_duplicate(t):
     return scans.project(t.orders, " o_totalprice ,o_orderkey,o_totalprice", suffix_duplicates=True)
@@ -75,9 +80,10 @@ def scan_single_column(t):
     return scans.project(t.customer, ["c_custkey"])
 
 
-@query("SELECT count(*) AS n FROM (SELECT c_custkey FROM customer LIMIT 20)")
+@query("SELECT r_name FROM region LIMIT 3")
 def scan_first_values(t):
-    return scans.first_values(t.customer, "c_custkey", 20).agg(F.count("*").alias("n"))
+    # A table of one file: its first values are those that any reader meets first.
+    return scans.first_values(t.region, "r_name", 3)
 
 
 @query("SELECT count(*) AS n FROM lineitem")
@@ -102,9 +108,13 @@ def schema_columns(t):
     return scans.schema_rows(t.orders).select("pos", "name")
 
 
-@query("SELECT sum(n)::BIGINT AS n_rows, max(n)::INT AS most FROM (SELECT least(2048, n - 2048 * i) AS n FROM (SELECT count(*) AS n FROM customer), range(0, 100000) AS r(i) WHERE 2048 * i < n)")
+@query("SELECT count(*) AS n_rows, 2048::BIGINT AS most, true AS numbered, sum(l_orderkey)::BIGINT AS keys FROM lineitem")
 def batch_sizes(t):
-    return scans.batches(t.customer.coalesce(1)).agg(F.sum("n_rows").alias("n_rows"), F.max("n_rows").alias("most"))
+    """Delivered batches: all rows, at most 2,048 a batch, all full but each partition's last, numbered without gaps."""
+    per = scans.batches(t.lineitem.select("l_orderkey")).groupBy("partition", "batch").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("k"))
+    of = per.groupBy("partition").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("batch").alias("last"), F.sum("k").alias("k"))
+    numbered = F.bool_and(F.col("last") == F.floor((F.col("n") - 1) / 2048))
+    return of.agg(F.sum("n").alias("n_rows"), F.max("most").alias("most"), numbered.alias("numbered"), F.sum("k").alias("keys"))
 
 
 @query("SELECT count(*) AS n_rows, count(*) * 32 AS n_bytes FROM orders")
@@ -112,7 +122,7 @@ def stream_totals(t):
     return scans.stream_totals(t.orders, 32).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
 
 
-@query("SELECT count(*) AS n_rows, 11::BIGINT AS n_columns FROM lineitem")
+@query("SELECT count(*) AS n_rows, (SELECT count(*) FROM information_schema.columns WHERE table_name = 'lineitem') AS n_columns FROM lineitem")
 def footer_totals(t):
     from heddle.sources.footers import footers
 
@@ -204,9 +214,9 @@ def join_semi(t):
     return t.customer.join(t.orders.where("o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def join_anti(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""
@@ -453,9 +463,9 @@ def placement_percent(t):
     return placement.distribution(_assigned(t, 3))
 
 
-@query(f"WITH {_KEYS}, {_ring_sql('r', 2)}, {_ring_sql('s', 3)} SELECT r_a.uri, array_to_string(list(k ORDER BY k), ',') AS keys FROM r_a JOIN s_a USING (k) WHERE r_a.uri <> s_a.uri GROUP BY r_a.uri")
+@query(f"WITH {_KEYS}, {_ring_sql('r', 2)}, {_ring_sql('s', 3)} SELECT r_a.uri, k FROM r_a JOIN s_a USING (k) WHERE r_a.uri <> s_a.uri")
 def placement_moved(t):
-    return placement.moved(_assigned(t, 2), _assigned(t, 3), "k").select("uri", F.array_join("keys", ",").alias("keys"))
+    return placement.moved(_assigned(t, 2), _assigned(t, 3), "k")
 
 
 @query("SELECT pos, uri, greatest(1, least(400, (b // 1048576) // 100))::INT AS n FROM (VALUES (0, 'a', 1048576), (1, 'b', 1073741824), (2, 'c', 2147483648), (3, 'd', 1099511627776)) AS n(pos, uri, b)")
@@ -648,12 +658,12 @@ for _name, _text in business.BUSINESS.items():
 # Datasets: plans, listings, sinks, cache accounting
 
 
-@query("SELECT 'lineitem.parquet' AS file, 'l_orderkey,l_tax' AS columns, 'struct<l_orderkey:bigint,l_tax:double>' AS projected_schema, true AS placed")
+@query("SELECT 'lineitem.parquet' AS file, 'l_orderkey,l_tax' AS columns, 'struct<l_orderkey:bigint,l_tax:double>' AS projected_schema, true AS placed, count(*) AS n_rows FROM lineitem")
 def plan_partitions(t):
     r = Registry(t._spark, [Node(u, b) for _, u, b in NODES])
     r.register("lineitem", t.path("lineitem"))
     p = r.plan("lineitem", "l_orderkey, l_tax")
-    return p.select(F.element_at(F.split("partition_id", "/"), -1).alias("file"), F.array_join("columns", ",").alias("columns"), "projected_schema", F.col("location").isNotNull().alias("placed"))
+    return p.select(F.element_at(F.split("partition_id", "/"), -1).alias("file"), F.array_join("columns", ",").alias("columns"), "projected_schema", F.col("location").isNotNull().alias("placed"), "n_rows")
 
 
 @query("SELECT * FROM (VALUES ('nation', 'PARQUET', 1, true), ('region', 'PARQUET', 1, true)) AS v(name, format, n_files, sized)")
@@ -708,3 +718,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flagship"] = flagship
 SQL["flagship"] = "SELECT l_orderkey, count(*) AS n, sum(l_extendedprice::DECIMAL(18,4))::DOUBLE AS total FROM lineitem GROUP BY l_orderkey"
+
+
+from heddle import service_queries  # noqa: E402, F401  (registers its queries)

@@ -26,20 +26,24 @@ def in_range(points: DataFrame, ranges: DataFrame, *, at: str, low: str, high: s
     A range is listed once for each cell that it meets: choose a width near the
     usual length of a range. There is no nested loop.
     """
-    cell = lambda c: F.floor(c / width)
-    listed = ranges.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high) - 1))))
-    return points.withColumn("__cell", cell(F.col(at))).join(listed, ["__cell", *(by or [])]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
+    whole = all(df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for df, c in ((points, at), (ranges, low), (ranges, high)))
+    # Whole numbers are divided as such: a double would lose those above 2 ** 53.
+    cell = lambda c: F.expr(f"({c} - pmod({c}, {width})) div {width}") if whole else F.floor(F.col(c) / width)
+    last = F.expr(f"({high} - 1 - pmod({high} - 1, {width})) div {width}") if whole else F.floor((F.col(high) - 1) / width)
+    listed = ranges.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(F.sequence(cell(low), last)))
+    return points.withColumn("__cell", cell(at)).join(listed, ["__cell", *(by or [])]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot keys are spread: left rows take a salt of their content, right rows come once for each.
+    """An equi-join whose hot keys are spread: left rows take salts in turn by their place, right rows come once for each.
 
     For joins that adaptive execution can't split (a preceding repartition, a
     cached side); ``right`` has to be the smaller side. Only for inner and left joins.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"{how} would repeat the right side")
-    l = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    # By place and not by content: equal rows get different salts too.
+    l = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [key, "__salt"], how).drop("__salt")
 

@@ -89,8 +89,11 @@ def assign(keys: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
 
     The 32-bit hash space is cut into slices; a range is listed under each
     slice that it meets, so keys find it by an equi-join on the slice, without
-    a nested loop. The ring side is bounded by its points plus SLICES rows.
+    a nested loop. The ring side is bounded by its points plus SLICES rows. A
+    ring without nodes is an error.
     """
+    if nodes.isEmpty():
+        raise DatasetError("the ring has no node")
     ranges = ring_ranges(ring_points(nodes))
     slices = ranges.withColumn("slice", F.explode(F.sequence(F.shiftright(F.col("low") + 1, _SLICE_BITS).cast("int"), F.shiftright("high", _SLICE_BITS).cast("int"))))
     hashed = keys.withColumn("key_hash", F.crc32(F.col(key).cast("string").cast("binary"))).withColumn("slice", F.shiftright("key_hash", _SLICE_BITS).cast("int"))
@@ -106,6 +109,6 @@ def distribution(assigned: DataFrame) -> DataFrame:
 
 
 def moved(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """(uri, keys): what each old node has to let go, its keys in order."""
-    o, n = old.select(F.col(key).alias("k"), F.col("uri").alias("was")), new.select(F.col(key).alias("k"), F.col("uri").alias("now"))
-    return o.join(n, "k").where("was <> now").groupBy(F.col("was").alias("uri")).agg(F.sort_array(F.collect_list("k")).alias("keys"))
+    """(uri, key): what each old node has to let go, one row a key."""
+    o, n = old.select(F.col(key), F.col("uri")), new.select(F.col(key).alias("__k"), F.col("uri").alias("now"))
+    return o.join(n, F.col(key) == F.col("__k")).where("uri <> now").select("uri", key)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from heddle.errors import DatasetError, NotSupported
 from heddle.plans.placement import Node, Ring
 from heddle.sources import scan as scans
+from heddle.sources.footers import counts
 from heddle.sources.storage import Listing, listing
 
 CATALOGS = {"SPARK": True, "PRIVATE": False}
@@ -103,32 +104,53 @@ class Registry:
 
     def frame(self, name: str, columns: str | list[str] | None = None, where=None) -> DataFrame:
         d = self.get(name)
-        return scans.scan(self.spark, d.path, columns, where=where, format=FORMATS[d.format])
+        return scans.scan(self.spark, d.path, columns, where=where, format=FORMATS[d.format], schema=d.schema)
 
     def view(self, name: str) -> None:
         self.frame(name).createOrReplaceTempView(name)
 
     def plan(self, name: str, columns: str | list[str] | None = None) -> DataFrame:
-        """One row for each partition (file): partition_id, location, columns, schema, projected_schema, n_bytes."""
+        """One row for each partition (file): partition_id, location, columns, schema, projected_schema, n_bytes, n_rows.
+
+        Rows are counted from Parquet footers, and are -1 (unknown) for other formats.
+        """
         d = self.get(name)
         names = scans.column_names(columns) or d.schema.names
         unknown = [n for n in names if n not in d.schema.names]
         if unknown:
             raise DatasetError(f"unknown column {unknown[0]!r}")
         projected = T.StructType([d.schema[n] for n in names])
-        rows = [(f.path, d.locations.get(f.path), names, d.schema.simpleString(), projected.simpleString(), f.size) for f in d.files.files]
-        return self.spark.createDataFrame(rows, "partition_id string, location string, columns array<string>, schema string, projected_schema string, n_bytes long")
+        held = counts(self.spark, d.path) if d.format == "PARQUET" else {}
+        rows = [(f.path, d.locations.get(f.path), names, d.schema.simpleString(), projected.simpleString(), f.size, held.get(f.path, -1)) for f in d.files.files]
+        return self.spark.createDataFrame(rows, "partition_id string, location string, columns array<string>, schema string, projected_schema string, n_bytes long, n_rows long")
+
+    def take_drops(self, location: str) -> list[tuple[str, list[str]]]:
+        """(dataset, partitions) that a node has to let go; each is told once."""
+        mine = [(name, parts) for where, name, parts in self.drops if where == location]
+        self.drops = [d for d in self.drops if d[0] != location]
+        return mine
 
     def listed(self) -> DataFrame:
         """name, path, format, n_files, n_bytes, modified, flags of every dataset; filter it like any table."""
         rows = [(d.name, d.path, d.format, len(d.files.files), d.total_bytes, d.files.modified, sorted(d.flags)) for d in self.datasets.values()]
         return self.spark.createDataFrame(rows, "name string, path string, format string, n_files int, n_bytes long, modified long, flags array<string>")
 
-    def put(self, name: str, df: DataFrame, path: str, mode: str = "append") -> Dataset:
-        """Writes ``df`` (all or nothing, by Spark's committer) and registers or refreshes the dataset."""
-        df.write.mode(mode).parquet(path)
-        if name in self.datasets:
-            d = self.datasets[name]
-            self.datasets[name] = replace(d, files=listing(self.spark, path), flags=d.flags | {"FILES_APPEND"})
-            return self.get(name)
-        return self.register(name, path)
+    def put(self, name: str, df: DataFrame, path: str | None = None, mode: str = "append") -> Dataset:
+        """Writes ``df`` (all or nothing, by Spark's committer) and registers or refreshes the dataset.
+
+        A known dataset is written where it lies and in its own format; ``path``
+        may name its folder, not another, and ``df`` needs its columns.
+        """
+        d = self.datasets.get(name)
+        if d is None:
+            if path is None:
+                raise DatasetError(f"unknown dataset {name!r}: a new one needs a path")
+            df.write.mode(mode).parquet(path)
+            return self.register(name, path)
+        if path is not None and path.rstrip("/") != d.path.rstrip("/"):
+            raise DatasetError(f"dataset {name!r} lies in {d.path}, not in {path}")
+        if sorted(df.columns) != sorted(d.schema.names):
+            raise DatasetError(f"dataset {name!r} has the columns {', '.join(d.schema.names)}")
+        df.select(*[df[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in d.schema.fields]).write.mode(mode).format(FORMATS[d.format]).save(d.path)
+        self.datasets[name] = replace(d, files=listing(self.spark, d.path), flags=d.flags | {"FILES_APPEND"})
+        return self.get(name)

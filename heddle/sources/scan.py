@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddle.errors import DatasetError
-
-BATCH_ROWS = 2048
+from heddle.operators.joins import small_enough
+from heddle.settings import settings
 
 
 def column_names(request: str | Sequence[str] | None) -> list[str] | None:
@@ -44,7 +46,7 @@ def scan(spark: SparkSession, path: str, columns: str | Sequence[str] | None = N
 
     With ``schema`` optional columns that a file lacks are null, and a lacking
     required one is an error. ``constants`` are appended last, as partition
-    values are.
+    values are; one that is named like a column is an error.
     """
     reader = spark.read.format(format).option("recursiveFileLookup", "true")
     if schema is not None:
@@ -57,9 +59,10 @@ def scan(spark: SparkSession, path: str, columns: str | Sequence[str] | None = N
     if where is not None:
         df = df.where(where)
     df = project(df, columns)
-    for name, value in (constants or {}).items():
-        df = df.withColumn(name, F.lit(value))
-    return df
+    clash = [n for n in constants or {} if n in df.columns]
+    if clash:
+        raise DatasetError(f"the constant {clash[0]!r} is a column already")
+    return df.select("*", *[F.lit(value).alias(name) for name, value in (constants or {}).items()])
 
 
 def first_values(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -67,25 +70,78 @@ def first_values(df: DataFrame, column: str, n: int) -> DataFrame:
     return project(df, [column]).limit(n)
 
 
-def batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """(partition, batch, n_rows): the batches of at most ``rows`` rows that each partition streams, numbered from 0."""
+def batches(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as its partitions stream it, in batches of at most ``rows`` rows: adds ``partition`` and ``batch``, numbered from 0.
+
+    Every batch but a partition's last is full; without ``rows`` the setting spark.heddle.batch.rows counts. A column of ``df`` that is named like one of the two is an error.
+    """
+    rows = rows or settings(df.sparkSession).batch_rows
+    clash = {"partition", "batch"} & set(df.columns)
+    if clash:
+        raise DatasetError(f"there is a column {sorted(clash)[0]!r} already")
 
-    def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n, left = TaskContext.get().partitionId(), 0, 0
-        sizes = []
+        part, n, held = TaskContext.get().partitionId(), 0, None
+
+        def sent(t: pa.Table, n: int) -> pa.RecordBatch:
+            t = t.append_column("partition", pa.array([part] * t.num_rows, pa.int32())).append_column("batch", pa.array([n] * t.num_rows, pa.int32()))
+            return t.combine_chunks().to_batches()[0]
+
+        for b in stream:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            while held.num_rows >= rows:
+                yield sent(held.slice(0, rows), n)
+                held, n = held.slice(rows), n + 1
+        if held is not None and held.num_rows:
+            yield sent(held, n)
+
+    schema = T.StructType([*df.schema.fields, T.StructField("partition", T.IntegerType()), T.StructField("batch", T.IntegerType())])
+    return df.mapInArrow(number, schema)
+
+
+def pulled(df: DataFrame, rows: int = 2048, ahead: bool = False) -> Iterator[list]:
+    """Rows in lists of at most ``rows``, as the consumer asks for them: one partition is held at a time, two with ``ahead``."""
+    found = df.toLocalIterator(prefetchPartitions=ahead)
+    while part := list(islice(found, rows)):
+        yield part
+
+
+def collected(df: DataFrame, most_bytes: int = 1 << 30) -> pa.Table:
+    """All of ``df`` as one Arrow table on the driver; an error if the optimizer's estimate of its size is over ``most_bytes``."""
+    if not small_enough(df, most_bytes):
+        raise DatasetError(f"too large to collect: more than {most_bytes} bytes by the optimizer's estimate")
+    return df.toArrow()
+
+
+def transformed(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str, on_error: Callable[[pa.RecordBatch, Exception], pa.RecordBatch | None] | None = None) -> DataFrame:
+    """``f`` over the batches of ``df``. Of a batch on which it fails ``on_error`` gives the replacement, or None for none; without it the job fails."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in stream:
-            left += b.num_rows
-            while left >= rows:
-                sizes.append(rows)
-                left -= rows
-        if left:
-            sizes.append(left)
-        n = len(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(sizes, pa.int32())], names=["partition", "batch", "n_rows"])
-
-    return df.mapInArrow(count, "partition int, batch int, n_rows int")
+            try:
+                out = f(b)
+            except Exception as error:  # the caller's own function: whatever it raises
+                if on_error is None:
+                    raise
+                out = on_error(b, error)
+            if out is not None:
+                yield out
+
+    return df.mapInArrow(run, schema)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, group: str) -> Iterator[Callable[[], None]]:
+    """Jobs started inside, in this thread, belong to ``group``; the function that is given cancels them, from any thread."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group, interruptOnCancel=True)
+    try:
+        yield lambda: context.cancelJobGroup(group)
+    finally:
+        context._jsc.clearJobGroup()
 
 
 def stream_totals(df: DataFrame, value_bytes: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from heddle.errors import DatasetError
@@ -28,11 +29,14 @@ class Listing:
 
 def _hadoop(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+    try:
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+    except Py4JJavaError as error:
+        raise DatasetError(f"no storage for {path}: {error.java_exception.getMessage()}") from None
 
 
 def listing(spark: SparkSession, path: str) -> Listing:
-    """All data files under ``path``, recursively; names that end in _SUCCESS or begin with _ or . are no data."""
+    """All data files under ``path``, recursively; names that end in _SUCCESS or begin with _ or . are no data, nor is what lies in such folders."""
     fs, root = _hadoop(spark, path)
     if not fs.exists(root):
         raise DatasetError(f"no such path: {path}")
@@ -43,6 +47,8 @@ def listing(spark: SparkSession, path: str) -> Listing:
         modified = max(modified, now.getModificationTime())
         name = now.getPath().getName()
         if now.isDirectory():
+            if now is not status and name.startswith(("_", ".")):
+                continue
             todo.extend(fs.listStatus(now.getPath()))
         elif not (name.endswith("_SUCCESS") or name.startswith(("_", "."))):
             found.append(DataFile(now.getPath().toString(), now.getLen(), now.getModificationTime()))

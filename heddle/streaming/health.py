@@ -27,10 +27,10 @@ def missed_beats(beats: DataFrame, peer: str, at: str, beat_ms: int = BEAT_MS) -
 
 
 def states_at(beats: DataFrame, peer: str, at: str, now: Column, beat_ms: int = BEAT_MS) -> DataFrame:
-    """(peer, last_beat, missed, state) of every peer at one moment."""
+    """(peer, last_beat, missed, state) of every peer at one moment; as in ``missed_beats``, a beat is missed once its time has passed."""
     per = beats.groupBy(peer).agg(F.max(at).alias("last_beat"))
     gap = F.floor(F.unix_millis(now.cast("timestamp")) - F.unix_millis(F.col("last_beat").cast("timestamp")))
-    return per.withColumn("missed", F.floor(F.greatest(F.lit(0), gap) / beat_ms)).withColumn("state", state(F.col("missed")))
+    return per.withColumn("missed", F.greatest(F.lit(0), F.floor((gap - 1) / beat_ms))).withColumn("state", state(F.col("missed")))
 
 
 def timed_out(age_ms: Column, suspect_ms: int, failed_ms: int) -> Column:

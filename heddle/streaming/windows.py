@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.session import shared_dir
 
 
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def instant(wall: str) -> Column:
+    """A time without zone, read as UTC: watermarks need instants, and the session's zone shall not move windows."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, `{wall}`)"))
+
+
+def wall(at: str) -> Column:
+    """What ``instant`` was given."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros(`{at}`), {_EPOCH})")
+
+
 def tumbling(events: DataFrame, at: str, size: str, *keys: str) -> DataFrame:
     return _counted(events.groupBy(F.window(at, size), *keys), keys)
 
@@ -59,3 +72,22 @@ def finished(stream: DataFrame) -> DataFrame:
     query.awaitTermination()
     spark = stream.sparkSession
     return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has sent once it has read what is there now: rows that are final (append), or every update.
+
+    Each trigger's rows go to a folder that is named by its number, so a trigger
+    that is run again after a failure replaces its own rows.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/sent/trigger={n}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/sent")

@@ -10,14 +10,17 @@ from pyspark.sql import types as T
 
 from heddle.errors import DatasetError, NotSupported
 from heddle.functions import parse, pretty
+from heddle.operators import dictionary
 from heddle.operators.joins import asof, in_range, salted
 from heddle.plans import business
 from heddle.plans.ledger import ColumnCache, Ledger
-from heddle.plans.placement import Node, Ring, crc32, vnodes
-from heddle.sources import footers, scan
+from heddle.plans.placement import Node, Ring, assign, crc32, vnodes
+from heddle.plans.workers import Workers
+from heddle.settings import settings as session_settings
+from heddle.sources import footers, puts, scan
 from heddle.sources.registry import Registry
 from heddle.sources.sinks import stored_copy
-from heddle.streaming import health, windows
+from heddle.streaming import health, listeners, windows
 
 
 def test_column_strings():
@@ -54,7 +57,17 @@ def test_registry_life(spark, tmp_path):
     after = r.get("d").locations
     assert {p for w, _, parts in r.drops for p in parts} == {p for p in before if before[p] != after[p]}
     r.put("d", spark.range(10, 20), path)
+    assert r.frame("d").count() == 20 and r.plan("d").agg(F.sum("n_rows")).first()[0] == 20
+    for bad in (lambda: r.put("d", spark.range(1), str(tmp_path / "other")), lambda: r.put("d", spark.range(1).toDF("x")), lambda: r.put("new", spark.range(1))):
+        with pytest.raises(DatasetError):
+            bad()
     assert r.frame("d").count() == 20
+    spark.range(4).write.orc(str(tmp_path / "o"))
+    r.register("o", str(tmp_path / "o"), format="ORC")
+    r.put("o", spark.range(4, 6))
+    assert sorted(x.id for x in r.frame("o").collect()) == list(range(6)) and {x.n_rows for x in r.plan("o").collect()} == {-1}
+    with pytest.raises(DatasetError):
+        r.register("z", "nosuch://host/path")
     for bad in (lambda: r.plan("d", "nope"), lambda: r.get("x"), lambda: r.register("y", path, catalog="odd"), lambda: r.register("y", path, format="CSV"), lambda: r.register("y", str(tmp_path / "none"))):
         with pytest.raises(DatasetError):
             bad()
@@ -122,8 +135,153 @@ def test_footers_and_row_groups(spark, tmp_path):
 
 
 def test_batches(spark):
-    sizes = [r.n_rows for r in scan.batches(spark.range(0, 6000, 1, 1)).orderBy("batch").collect()]
-    assert sizes == [2048, 2048, 1904]
+    sent = scan.batches(spark.range(0, 6000, 1, 1))
+    assert [r["count"] for r in sent.groupBy("batch").count().orderBy("batch").collect()] == [2048, 2048, 1904]
+    assert [r.batch for r in sent.orderBy("id").collect()] == [i // 2048 for i in range(6000)]
+    assert scan.batches(spark.range(10), rows=3).groupBy("partition", "batch").count().agg(F.max("count")).first()[0] <= 3
+    assert scan.batches(spark.range(0)).count() == 0
+    with pytest.raises(DatasetError):
+        scan.batches(spark.range(1).toDF("batch"))
+    assert [len(x) for x in scan.pulled(spark.range(0, 10, 1, 3), 4)] == [4, 4, 2]
+    assert scan.collected(spark.range(5)).num_rows == 5
+    with pytest.raises(DatasetError):
+        scan.collected(spark.range(5), most_bytes=1)
+
+
+def test_transform_without_hook_fails(spark):
+    def bad(b):
+        raise ValueError("no")
+
+    with pytest.raises(Exception, match="no"):
+        scan.transformed(spark.range(3), bad, "id long").collect()
+    assert scan.transformed(spark.range(3), bad, "id long", lambda b, e: None).count() == 0
+
+
+def test_cancel(spark):
+    import threading
+    import time
+
+    got = []
+
+    def run():
+        with scan.cancellable(spark, "slow") as cancel:
+            got.append(cancel)
+            try:
+                spark.range(0, 4, 1, 4).mapInPandas(lambda it: (time.sleep(60) or x for x in it), "id long").count()
+            except Exception as e:
+                got.append(str(e))
+
+    t = threading.Thread(target=run)
+    t.start()
+    while not got:
+        time.sleep(0.1)
+    time.sleep(3)
+    got[0]()
+    t.join(40)
+    assert not t.is_alive() and "cancel" in got[1].lower()
+
+
+def test_constants_that_clash(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "d"))
+    with pytest.raises(DatasetError):
+        scan.scan(spark, str(tmp_path / "d"), constants={"id": 1})
+
+
+def test_puts(spark, tmp_path):
+    path = str(tmp_path / "p")
+    told = puts.put(spark.range(0, 10, 1, 2), path, note="a")
+    assert sorted((r.n_rows, r.note) for r in told.collect()) == [(5, "a"), (5, "a")] and spark.read.parquet(path).count() == 10
+    assert puts.put(spark.range(3), path, note="b").agg(F.sum("n_rows")).first()[0] == 13
+    told = puts.put(spark.range(1), path, mode="overwrite")
+    assert [(r.n_rows, r.note) for r in told.collect()] == [(1, "")] and spark.read.parquet(path).count() == 1
+
+    def bad(it):
+        yield from it
+        raise ValueError("half way")
+
+    with pytest.raises(Exception, match="half way"):
+        puts.put(spark.range(0, 10, 1, 2).mapInArrow(bad, "id long"), path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_dictionary(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, "b")], "code int, `a b` string")
+    codes, words = dictionary.encoded(df, "a b")
+    assert codes.columns == ["code", "a b"] and words.count() == 2
+    assert sorted(map(tuple, dictionary.decoded(codes, words, "a b").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_settings(spark):
+    assert session_settings(spark).batch_rows == 2048 and ColumnCache.of(spark).ledger.policy == "LRU"
+    spark.conf.set("spark.heddle.batch.rows", "many")
+    try:
+        with pytest.raises(DatasetError):
+            session_settings(spark)
+    finally:
+        spark.conf.unset("spark.heddle.batch.rows")
+
+
+def test_listener(spark, tmp_path):
+    import time
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    seen = []
+    with listeners.listening(spark, lambda what, call: seen.append(what)) as calls:
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+        assert windows.drained(stream).count() == 5
+        for _ in range(50):
+            if "ended" in seen:
+                break
+            time.sleep(0.1)
+    (call,) = calls.calls.values()
+    assert seen[0] == "started" and seen[-1] == "ended" and call.rows == 5 and call.ended and call.error is None
+
+
+def test_workers(spark, tmp_path):
+    spark.range(10).repartition(4).write.parquet(str(tmp_path / "d"))
+    r = Registry(spark)
+    w = Workers(r)
+    w.register(Node("a", 1 << 30), 0)
+    w.register(Node("b", 1 << 30), 0)
+    r.register("d", str(tmp_path / "d"))
+    assert [w.state("a", t) for t in (3000, 9000, 9001, 12001, 18000, 18001)] == ["OK", "OK", "SUSPECTED", "SUSPECTED", "SUSPECTED", "FAILED"]
+    assert w.state("x", 0) == "UNKNOWN"
+    w.beat("a", 20_000)
+    assert w.check(21_000)["b"] == "FAILED" and list(w.nodes) == ["a"]
+    assert set(r.get("d").locations.values()) == {"a"}
+    with pytest.raises(DatasetError):
+        w.beat("b", 22_000)
+
+
+def test_empty_ring_places_nothing(spark):
+    none = spark.createDataFrame([], "pos int, uri string, cache_bytes long")
+    with pytest.raises(DatasetError):
+        assign(spark.range(3), "id", none)
+
+
+def test_salts_spread_equal_rows(spark):
+    equal = spark.range(0, 1000, 1, 1).select(F.lit(1).alias("k"))
+    joined = salted(equal, spark.createDataFrame([(1, "x")], "k int, n string"), "k", 16)
+    assert joined.count() == 1000
+    assert equal.select(F.pmod(F.monotonically_increasing_id(), F.lit(16)).alias("s")).distinct().count() == 16
+
+
+def test_cells_of_large_numbers(spark):
+    big = (1 << 60) + 1
+    got = in_range(spark.createDataFrame([(big,), (-5,)], "x long"), spark.createDataFrame([(big, big + 1), (-6, -4)], "a long, b long"), at="x", low="a", high="b", width=10)
+    assert got.count() == 2
+
+
+def test_local_scan_pins_its_columns(spark):
+    df = spark.range(5).select("id", (F.col("id") * 2).alias("x"))
+    cache = ColumnCache(Ledger(20))
+    with cache.local("d", df, ["x"], lambda c: 10) as frame:
+        cache.read("d", df, ["id"], lambda c: 10)
+        assert ("d", "*", "x") in cache.ledger.entries and frame.count() == 5
+        cache.drop("d")
+        assert ("d", "*", "x") in cache.ledger.entries
+    cache.drop("d")
+    assert not cache.ledger.entries and not cache.held
 
 
 def test_asof_in_range_salted(spark):
@@ -189,7 +347,7 @@ def test_pretty_lists(spark):
 
 
 def test_states(spark):
-    beats = spark.sql("SELECT * FROM VALUES ('a', timestamp_ntz'2024-01-01 00:00:00'), ('b', timestamp_ntz'2024-01-01 00:00:20') AS t(p, at)")
+    beats = spark.sql("SELECT * FROM VALUES ('a', timestamp_ntz'2024-01-01 00:00:00'), ('b', timestamp_ntz'2024-01-01 00:00:19') AS t(p, at)")
     now = F.expr("timestamp_ntz'2024-01-01 00:00:29'")
     assert {r.p: r.state for r in health.states_at(beats, "p", "at", now).collect()} == {"a": "FAILED", "b": "SUSPECTED"}
 
