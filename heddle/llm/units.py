@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import stored
+from heddle.llm.common import HOT_SHARE, stored
 
 CHUNK = 4096
 
@@ -22,12 +22,20 @@ def dealt(rows: DataFrame, keys: list[str], member: str, chunk: int = CHUNK) ->
     two rows of a key share a unit, and a unit holds about two chunks at most.
     """
     crowded = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    crowded = stored(crowded.select(*keys, F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "crowded")
+    crowded = stored(crowded.select(*keys, "n", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "crowded")
+    # The few keys with a great part of all rows are told to every task, so their rows aren't gathered to be dealt out.
+    least = max(rows.count() // HOT_SHARE, chunk)
+    hot = crowded.where(F.col("n") > least)
+    if hot.isEmpty():
+        told = rows.join(crowded.drop("n"), keys, "left")
+    else:
+        there = rows.join(F.broadcast(hot.drop("n")), keys)
+        told = there.unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(crowded.where(F.col("n") <= least).drop("n"), keys, "left"))
     mine = F.pmod(F.xxhash64(member), F.col("chunks")).cast("int")
     units = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
     )
-    found = rows.join(crowded, keys, "left").withColumn("u", F.explode(units)).select(*keys, "u.i", "u.j", *[c for c in rows.columns if c not in keys])
+    found = told.withColumn("u", F.explode(units)).select(*keys, "u.i", "u.j", *[c for c in rows.columns if c not in keys])
     return found.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
 
 

@@ -888,3 +888,46 @@ def test_pipeline_stages(spark):
             for s, k in n(a).groupby(a.source).sum().items():
                 assert abs(k - targets[s]) <= 64
         before = after
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data here")
+def test_pipeline_run_is_its_stages_in_turn(spark):
+    import corpus_pipeline
+
+    from heddle.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left == {"stage-mix_sources", "pack-pieces"}
+    assert "documents.parquet" not in got._jdf.queryExecution().toString()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(map(tuple, got.select(cols).collect())) == Counter(map(tuple, docs.select(cols).collect()))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data here")
+def test_mixed_pieces_have_one_owner(spark):
+    """An id and a piece name one packed piece, though documents come twice."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").dropDuplicates(["doc_id"])
+    packed = corpus_pipeline.pack(spark, corpus_pipeline.mix(spark, docs, ""), "")
+    assert packed.groupBy("doc_id", "piece").count().where("count > 1").isEmpty()
+
+
+def test_chat_very_long_turn(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "<s>" * 100_000), (1, 2, "assistant", "a " * 300_000)]
+    w = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    r = chat.digests(w).first()
+    assert r.n_turns == 3 and r.loss_sha256 == hashlib.sha256(("a " * 300_000).encode()).hexdigest() and r.n_windows == 2
+
+
+def test_classifier_takes_null_ids_and_ties(spark):
+    docs = spark.createDataFrame([(None, "some text here"), (1, "some text here"), (1, "some text here"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 0)], "doc_id long, label int")
+    got = quality_model.classify(docs, labels, F.lit(True)).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id != 2}) == 1 and all(0 <= r.score <= 1 for r in got)
