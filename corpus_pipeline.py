@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heddle.llm import exact_dedup, langid, mixing, packing, simhash
 from heddle.llm.catalog import vocabulary
-from heddle.llm.common import stored
+from heddle.llm.common import discard, scratch, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES in turn to ``documents``; each reads the Parquet files that the one before it wrote."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as made:  # what the stage stored on its way goes with it
+            after = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            made.remove(after)
+        if last is not None:
+            discard(last)
+        docs = last = after
     return STAGES[-1][1](spark, docs, sf_dir)
