@@ -327,8 +327,10 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[
     return rows.mapInArrow(label, T.StructType([*[rows.schema[c] for c in out], *[T.StructField(n, t) for n, t in told]]))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without texts that have no letter or of which no language holds ``least`` of the letters.
+def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
+    """``docs`` without texts that have no letter or whose score, the leading language's share of the letters times its certainty, is under ``least``.
+
+    A short text that several languages may have written is kept: of four alike each has a score of 0.25.
 
     The model is learned from the table's own ``lang``. Rows and columns are
     otherwise untouched; with no labelled row nothing is known and nothing kept
