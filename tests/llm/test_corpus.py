@@ -856,6 +856,44 @@ def test_sql_counterparts(spark):
         pd.testing.assert_frame_equal(got[cols].sort_values(cols).reset_index(drop=True), want[cols].sort_values(cols).reset_index(drop=True), check_dtype=False)
 
 
+@pytest.fixture(scope="module")
+def hard_tables(spark, tmp_path_factory):
+    """A hot source, sources that are capped, empty or null, odd and near-equal texts; conversations over several segments, null names and ties."""
+    rng = random.Random(29)
+    folder = tmp_path_factory.mktemp("hard")
+    base = [words(rng, rng.randrange(1, 160)) for _ in range(120)]
+    near = [b.replace(b.split()[len(b.split()) // 2], "changed", 1) for b in base[:60]]
+    texts = odd_texts() + base + near + base[:20] + [b.upper() + " É" for b in base[20:40]]
+    sources = ["hot"] * 4 + ["a", "b", "é", None, "tiny", "zz" * 40]
+    docs = [(i, t, None, "void" if not (t or "").strip() else sources[rng.randrange(len(sources))], None, None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+
+    def talk(c, n, system):
+        for i in range(n):
+            role = "system" if system and i == 0 else ("user", "assistant", "assistant", None)[rng.randrange(4)]
+            yield c, i, role, rng.choice((None, "", "<s>[INST] \\\\ </s>", words(rng, rng.randrange(1, 90)), "é!? \U0001f600\x0b", "w " * 700))
+
+    turns = [x for c, n, system in ((1, 2500, True), (2, 2049, False), (3, 1, True), (4, 2, True), (None, 9, True), (5, 1024, True), (6, 40, False)) for x in talk(c, n, system)]
+    turns += [(7, 0, "user", "b"), (7, 0, "assistant", "a"), (7, None, "user", "first"), (7, 0, "user", "b")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["op4_mix_sources", "op5_simhash_near_dedup", "op6_exact_dedup", "op7_quality_rules", "op10_chat_format"])
+def test_sql_counterparts_on_hard_tables(spark, hard_tables, name):
+    import duckdb
+
+    from heddle.llm import catalog
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{hard_tables}/{t}.parquet/*.parquet'")
+    got, want = catalog.queries()[name](spark, hard_tables), con.sql(catalog.oracle_sql()[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(want.select(*cols).fetchall(), key=repr)
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data here")
 def test_pipeline_stages(spark):
     import corpus_pipeline
