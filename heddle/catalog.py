@@ -231,6 +231,18 @@ def join_asof(t):
     return asof(clicks, views, by=["user_id"], left_at="ts", right_at="v_ts", values=["last_view"]).select("event_id", "last_view")
 
 
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderstatus AS k, o_orderdate AS ts FROM orders),
+     l AS (SELECT l_linestatus AS k, l_shipdate AS ts, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
+SELECT o_orderkey, q AS last_quantity FROM o ASOF LEFT JOIN l ON o.k = l.k AND o.ts >= l.ts
+""")
+def join_asof_hot(t):
+    """Three keys for all rows, so each is cut into slots of time."""
+    shipped = t.lineitem.select(F.col("l_linestatus").alias("k"), F.col("l_shipdate").alias("s_ts"), F.col("l_quantity").alias("last_quantity"))
+    orders = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("k"), F.col("o_orderdate").alias("ts"))
+    return asof(orders, shipped, by=["k"], left_at="ts", right_at="s_ts", values=["last_quantity"], hot_rows=1000).select("o_orderkey", "last_quantity")
+
+
 @query("SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def join_salted(t):
     nation = t.nation.select(F.col("n_nationkey").alias("k"), "n_name")

@@ -4,19 +4,80 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from heddle.sources.sinks import stored_copy
 
-def asof(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, values: list[str]) -> DataFrame:
+
+#: An as-of join cuts a key with more rows than this, and than this share of all rows, into SLOTS times.
+HOT_ROWS, HOT_SHARE = 1_000_000, 2048
+SLOTS, _STEPS = 1000, (100, 10, 1)
+
+
+def _hot_bounds(rows: DataFrame, by: list[str], hot_rows: int) -> DataFrame | None:
+    """(by, __b100, __b10, __b1): rising times of each key with too many rows, every 100th, 10th and each of SLOTS - 1; None without such keys.
+
+    Fewer than HOT_SHARE keys can have that many rows. The bounds are stored,
+    since a second evaluation of the approximate percentiles could differ. A
+    table of fewer bytes than eight for each of ``hot_rows`` isn't counted.
+    """
+    if small_enough(rows, 8 * hot_rows):
+        return None
+    counts = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    most, all_ = counts.agg(F.max("__n"), F.sum("__n")).first()
+    least = max(hot_rows, (all_ or 0) // HOT_SHARE)
+    if (most or 0) <= least:
+        return None
+    hot = counts.where(F.col("__n") > least).select(*by)
+    shares = [i / SLOTS for i in range(1, SLOTS)]
+    bounds = rows.join(F.broadcast(hot), by).groupBy(*by).agg(F.percentile_approx("__at", shares).alias("__b1"))
+    every = {f"__b{n}": F.expr(f"transform(sequence({n - 1}, {SLOTS - 2}, {n}), i -> __b1[i])") for n in _STEPS if n > 1}
+    return stored_copy(bounds.withColumns(every))
+
+
+def asof(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, right_at: str, values: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``left`` with the ``values`` of the last ``right`` row of the same ``by`` at or before it; null if there is none.
 
     Both sides are one stream per key, sorted once: one shuffle and no pair of
     rows is ever formed. Of right rows at one time the greatest values count.
+    Null keys and null times match nothing.
+
+    Keys of large tables are counted first. One with more than ``hot_rows`` rows is cut into
+    slots of time by its own percentiles; each slot is a window of its own and
+    starts from the last values of the slots before it, one row for each slot.
+    Times of other types than numbers, dates and timestamps are not cut.
     """
     packed = F.struct(*values)
-    l = left.select(*by, F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType).alias("__v"))
+    kind = right.select(packed.alias("v")).schema["v"].dataType
+    l = left.select(*by, F.col(left_at).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind).alias("__v"))
     r = right.select(*by, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(l.schema["__row"].dataType).alias("__row"), packed.alias("__v"))
-    w = Window.partitionBy(*by).orderBy("__at", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    seen = l.unionByName(r).withColumn("__last", F.last("__v", ignorenulls=True).over(w))
+    known = F.col("__at").isNotNull()
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    both = l.unionByName(r.where(known))
+    at = both.schema["__at"].dataType
+    hot = _hot_bounds(both.where(known).select(*by, "__at"), by, hot_rows) if isinstance(at, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) else None
+    # Left rows that match nothing are dealt out to slots of their own, where no right row is.
+    apart = -2 - F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)).cast("int")
+    if hot is None:
+        cut = both.withColumn("__slot", F.when(known, -1).otherwise(apart))
+    else:
+        # How many bounds are earlier, a digit at a time; each digit is bound once, by a list of one.
+        digit = lambda n, slot: f"10 * {slot} + size(filter(slice(__b{n}, 10 * {slot} + 1, 9), b -> b < __at))"
+        slot = "array(0)"
+        for n in _STEPS:
+            slot = f"transform({slot}, s -> {digit(n, 's')})"
+        slots = F.when(known, F.coalesce(F.expr(f"if(__b1 is null, null, {slot}[0])"), F.lit(-1))).otherwise(apart)
+        cut = both.join(F.broadcast(hot), by, "left").withColumn("__slot", slots).drop(*[f"__b{n}" for n in _STEPS])
+    w = Window.partitionBy(*by, "__slot").orderBy("__at", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    seen = cut.withColumn("__last", F.last("__v", ignorenulls=True).over(w))
+    if hot is not None:
+        # A row for each slot of a hot key: what it hands on, then what it starts from.
+        ends = cut.where("__slot >= 0 and __side = 0").groupBy(*by, "__slot").agg(F.max(F.struct("__at", "__v")).alias("__end"))
+        before = Window.partitionBy(*by).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+        every = hot.select(*by, F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("__slot")).join(ends, [*by, "__slot"], "left")
+        carried = every.withColumn("__from", F.last("__end.__v", ignorenulls=True).over(before)).drop("__end")
+        seen = seen.join(carried, [*by, "__slot"], "left").withColumn("__last", F.coalesce("__last", "__from"))
     return seen.where("__side = 1").select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
 
 

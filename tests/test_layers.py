@@ -284,6 +284,26 @@ def test_local_scan_pins_its_columns(spark):
     assert not cache.ledger.entries and not cache.held
 
 
+@pytest.mark.parametrize("hot_rows", [1_000_000, 100, 0])
+@pytest.mark.parametrize("kind", ["int", "timestamp_ntz", "string"])
+def test_asof_hot_keys_and_nulls(spark, hot_rows, kind):
+    """A key with most of the rows, ties, null keys and null times, against a scan of all rows."""
+    rng = random.Random(4)
+    some = lambda n: rng.choice([None, *range(n)])
+    left = [(i, "hot" if i % 3 else rng.choice([None, "a", "b"]), some(300)) for i in range(500)]
+    right = [("hot" if i % 3 else rng.choice([None, "a", "b"]), some(300), rng.choice([None, i])) for i in range(300)]
+    at = {"int": "{}", "timestamp_ntz": "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, 0, {})", "string": "lpad(cast({} as string), 4, '0')"}[kind]
+    l = spark.createDataFrame(left, "i int, k string, t int").select("i", "k", F.expr(at.format("t")).alias("t"))
+    r = spark.createDataFrame(right, "k string, u int, v int").select("k", F.expr(at.format("u")).alias("u"), "v")
+    got = asof(l, r, by=["k"], left_at="t", right_at="u", values=["v"], hot_rows=hot_rows).collect()
+    assert len(got) == len(left)
+    low = lambda v: -1 if v is None else v
+    for x in got:
+        _, k, t = left[x.i]
+        near = [(u, low(v), v) for k2, u, v in right if None not in (k, t, u) and k2 == k and u <= t]
+        assert x.v == (max(near)[2] if near else None)
+
+
 def test_asof_in_range_salted(spark):
     rng = random.Random(1)
     left = [(i, rng.randrange(3), rng.randrange(50)) for i in range(60)]
