@@ -277,6 +277,13 @@ def agg_approx_distinct(t):
     return t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY l_returnflag")
+def agg_approx_error(t):
+    """Estimates of distinct parts beside the exact counts: ``near`` is within three standard errors."""
+    told, exact = F.approx_count_distinct("l_partkey", 0.02), F.count_distinct("l_partkey")
+    return t.lineitem.groupBy("l_returnflag").agg(exact.alias("parts"), (F.abs(told - exact) <= 3 * 0.02 * exact).alias("near"))
+
+
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def agg_cube(t):
     return t.orders.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
