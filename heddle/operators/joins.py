@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,18 +83,36 @@ def asof(left: DataFrame, right: DataFrame, *, by: list[str], left_at: str, righ
     return seen.where("__side = 1").select("__row.*", *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
+#: A range is longer than its cells by less than this factor.
+_WIDER = 16
+
+
 def in_range(points: DataFrame, ranges: DataFrame, *, at: str, low: str, high: str, width: int, by: list[str] | None = None) -> DataFrame:
-    """Points joined with the ranges that hold them, low <= at < high, as an equi-join on cells of ``width``.
+    """Points joined with the ranges that hold them, low <= at < high, as an equi-join on cells.
 
-    A range is listed once for each cell that it meets: choose a width near the
-    usual length of a range. There is no nested loop.
+    Cells are ``width`` long, and 16, 256 ... times that for ranges of 16, 256
+    ... times ``width`` or more. So a range is listed for 17 cells at most
+    (of whole numbers 65, where it is longer than 2 ** 62), and a point once for each length of cells in use: once
+    where no range has 16 times ``width``. There is no nested loop. Null, empty
+    and reversed ranges hold nothing; other columns keep their values.
     """
     whole = all(df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for df, c in ((points, at), (ranges, low), (ranges, high)))
-    # Whole numbers are divided as such: a double would lose those above 2 ** 53.
-    cell = lambda c: F.expr(f"({c} - pmod({c}, {width})) div {width}") if whole else F.floor(F.col(c) / width)
-    last = F.expr(f"({high} - 1 - pmod({high} - 1, {width})) div {width}") if whole else F.floor((F.col(high) - 1) / width)
-    listed = ranges.where(F.col(low) < F.col(high)).withColumn("__cell", F.explode(F.sequence(cell(low), last)))
-    return points.withColumn("__cell", cell(at)).join(listed, ["__cell", *(by or [])]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__cell")
+    kind = "long" if whole else "double"
+    # Whole numbers are divided as such: a double would lose those above 2 ** 53. Infinite ends count as the last numbers.
+    value = (lambda c: F.col(c).cast(kind)) if whole else (lambda c: F.greatest(F.least(F.col(c).cast(kind), F.lit(1.7e308)), F.lit(-1.7e308)))
+    wide = lambda level: (F.lit(width) * F.pow(F.lit(float(_WIDER)), level)).cast(kind)
+    cell = (lambda v, w: F.call_function("div", v, w) - F.when((v < 0) & (F.pmod(v, w) != 0), 1).otherwise(0)) if whole else (lambda v, w: F.floor(v / w))
+    length = value(high).cast("double") - value(low).cast("double")
+    most = math.floor(math.log(2**62 / width, _WIDER)) if whole else 255  # longer cells would pass the last number
+    level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.log(float(_WIDER), length / width)))).cast("int")
+    held = ranges.where(F.col(low) < F.col(high)).withColumn("__level", level)
+    levels = sorted(r[0] for r in held.select("__level").distinct().collect())  # at most 256
+    last = value(high) - 1 if whole else value(high)
+    listed = held.withColumn("__cell", F.explode(F.sequence(cell(value(low), wide(F.col("__level"))), cell(last, wide(F.col("__level"))))))
+    spread = points.where(F.col(at).isNotNull()).withColumn("__level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    spread = spread.withColumn("__cell", cell(value(at), wide(F.col("__level"))))
+    found = spread.join(listed, ["__cell", "__level", *(by or [])]).where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high)))
+    return found.drop("__cell", "__level")
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:

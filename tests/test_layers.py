@@ -304,6 +304,27 @@ def test_asof_hot_keys_and_nulls(spark, hot_rows, kind):
         assert x.v == (max(near)[2] if near else None)
 
 
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_in_range_of_any_length(spark, kind):
+    """Ranges of less than a cell and of all numbers, empty, reversed and null ones, points at their ends, ends between whole numbers."""
+    rng = random.Random(8)
+    of = (lambda x: int(x)) if kind == "long" else float
+    ends = [of(rng.choice([1, 30, 1000, 10**6]) * rng.uniform(-1, 1)) for _ in range(120)]
+    ranges = [(i, a, b) for i, (a, b) in enumerate(zip(ends, ends[1:]))] + [(200, of(-(2**62)), of(2**62 - 1)), (201, None, of(5)), (202, of(5), None), (203, of(3), of(3))]
+    if kind == "double":
+        ranges += [(300, 0.5, 1.2), (301, float("-inf"), float("inf")), (302, -1.0, float("inf"))]
+    else:
+        ranges += [(300, -(2**63), 2**63 - 1), (301, -(2**63), -(2**63) + 1), (302, 2**63 - 2, 2**63 - 1)]
+    points = list(enumerate([*ends, None, of(0), of(1), of(1.1), of(-(2**61)), of(-(2**63)), of(2**63 - 2) if kind == "long" else 1e300]))
+    schema = f"i int, x {kind}", f"r int, a {kind}, b {kind}"
+    joined = in_range(spark.createDataFrame(points, schema[0]), spark.createDataFrame(ranges, schema[1]), at="x", low="a", high="b", width=7)
+    assert joined.columns == ["i", "x", "r", "a", "b"]
+    want = sorted((i, r) for i, x in points for r, a, b in ranges if None not in (x, a, b) and a <= x < b)
+    assert sorted((r.i, r.r) for r in joined.collect()) == want
+    none = in_range(spark.createDataFrame(points, schema[0]), spark.createDataFrame([], schema[1]), at="x", low="a", high="b", width=7)
+    assert none.columns == joined.columns and none.isEmpty()
+
+
 def test_asof_in_range_salted(spark):
     rng = random.Random(1)
     left = [(i, rng.randrange(3), rng.randrange(50)) for i in range(60)]
