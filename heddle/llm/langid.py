@@ -18,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,10 @@ WORD_WEIGHT, SWITCH, OUTSIDE = 2.0, 8.0, -1e6
 MOST_LANGUAGES = 1024
 #: A language is a candidate for a script that has at least this share of its letters.
 LEAST_SHARE = 0.01
-CACHED = 300_000
-#: Words that are labelled together; bounds memory, not what is read.
-TOGETHER = 2_000_000
+#: Bounds of a task's memory, not of what is read: words whose scores are kept, words that are labelled together (of both at most
+#: HELD, times languages), words times languages that are scored at once, distinct words that are counted together, rows taken from a batch at once.
+CACHED, TOGETHER, HELD = 300_000, 1_000_000, 4_000_000
+PART, COUNTED, ROWS = 40_000, 50_000, 256
 
 UNDETERMINED = "und"
 NAMES = ("lang_pred", "score", "n_spans", "spans")
@@ -135,18 +136,31 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, cell, n); scripts are counted in letters at cells from -1 downwards."""
+    """(lang, cell, n), in parts to be added up; scripts are counted in letters at cells from -1 downwards."""
     seen: dict[str, Counter] = {}
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen.setdefault(lang, Counter()).update(words_of(text.lower()))
+        for part in _slices(b):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                seen.setdefault(lang, Counter()).update(words_of(text.lower()))
+            if sum(map(len, seen.values())) > COUNTED:
+                yield from _counted(seen)
+                seen = {}
+    yield from _counted(seen)
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, ROWS) for at in range(0, b.num_rows, ROWS))
+
+
+def _counted(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
     for lang, words in seen.items():
         cells, scripts = np.zeros(CELLS), Counter()
         for word, n in words.items():
             scripts[script_of(word[0])] += n * len(word)
-        if words:
-            starts, orders = cells_of(list(words))
-            n = np.repeat(np.fromiter(words.values(), np.float64, len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+        for part in batched(words.items(), COUNTED // 5):
+            own, times = zip(*part)
+            starts, orders = cells_of(list(own))
+            n = np.repeat(np.array(times, np.float64), np.fromiter(map(len, own), np.int64, len(own)) + 2)
             for at, inside in orders:
                 cells += np.bincount(at[inside], n[inside], CELLS)
         used = np.flatnonzero(cells)
@@ -212,10 +226,10 @@ class Labeller:
 
     def score_fresh(self) -> None:
         """Scores the words met since the last call, all at once."""
-        for at in range(0, len(self.fresh), 50_000):
-            part = self.fresh[at : at + 50_000]
-            self.scores = np.concatenate([self.scores, self.model.words(part)])
-            self.letters = np.concatenate([self.letters, np.fromiter(map(len, part), np.int64, len(part))])
+        n = max(1, PART // max(1, len(self.model.langs)))
+        parts = [self.model.words(self.fresh[at : at + n]) for at in range(0, len(self.fresh), n)]
+        self.scores = np.concatenate([self.scores, *parts])
+        self.letters = np.concatenate([self.letters, np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))])
         self.fresh = []
 
     def ids(self, words: list[str]) -> np.ndarray:
@@ -299,27 +313,27 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, keep: tuple[
             cols = [x[0] for x in found], [x[1] for x in found], [len(c) + bool(len(p)) for c, p in zip(cuts, paths)]
             return (*cols, [_spans(t, p, c, shared.value.langs) for t, p, c in zip(texts, paths, cuts)]) if spans else cols
 
+        room = HELD // max(1, len(shared.value.langs))
         for b in batches:
-            outs, texts, ids, held = [], [], [], 0
-            for text in b.column(1).to_pylist():
-                lower = (text or "").lower()
-                ids.append(labeller.ids(words_of(lower)))
-                texts.append(lower if spans else "")
-                held += len(ids[-1])
-                if held >= TOGETHER:
-                    outs.append(told(texts, ids))
-                    texts, ids, held = [], [], 0
-                    if len(labeller.known) > CACHED:
-                        labeller.clear()
-            outs.append(told(texts, ids))
-            if len(labeller.known) > CACHED:
-                labeller.clear()
-            cols = [[x for part in col for x in part] for col in zip(*outs)]
-            arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32())]
-            if spans:
-                arrays.append(pa.array(cols[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            passed = [b.column(0), *([b.column(1)] if "text" in keep else []), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays([*passed, *arrays], names=[*out, *NAMES[: len(arrays)]])
+            texts, ids, held, first = [], [], 0, 0
+            for part in _slices(b):
+                for text in part.column(1).to_pylist():
+                    lower = (text or "").lower()
+                    ids.append(labeller.ids(words_of(lower)))
+                    texts.append(lower if spans else "")
+                    held += len(ids[-1])
+                    if held >= min(TOGETHER, room) or first + len(ids) == b.num_rows:
+                        cols = told(texts, ids)
+                        own = b.slice(first, len(ids))
+                        first += len(ids)
+                        texts, ids, held = [], [], 0
+                        if len(labeller.known) > min(CACHED, room):
+                            labeller.clear()
+                        arrays = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32())]
+                        if spans:
+                            arrays.append(pa.array(cols[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+                        passed = [own.column(0), *([own.column(1)] if "text" in keep else []), *own.columns[2:]]
+                        yield pa.RecordBatch.from_arrays([*passed, *arrays], names=[*out, *NAMES[: len(arrays)]])
 
     rows = docs.select("doc_id", "text", *carried)
     types = [T.StringType(), T.DoubleType(), T.IntegerType(), T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", T.StringType()))]

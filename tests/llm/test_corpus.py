@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -696,6 +698,45 @@ def test_rare_languages_are_learned(spark):
     assert [r.lang_pred for r in got] == ["de", "de", "en"]
 
 
+@pytest.mark.parametrize(("n_langs", "n_texts", "n_words", "most_mb"), [(4, 800, 1500, 40), (64, 2000, 60, 110)])
+def test_labelling_takes_a_batch_in_parts(spark, monkeypatch, n_langs, n_texts, n_words, most_mb):
+    rng = np.random.default_rng(6)
+    langs = [f"{k:02}" for k in range(n_langs)]
+    model = langid.Model(langs, rng.normal(size=(langid.CELLS, n_langs)).astype(np.float32), {s: np.arange(n_langs) for s in langid.SCRIPTS})
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghijklmnop"), (100_000, 8))])
+    texts = [None, "", "12", *(" ".join(words[rng.integers(0, len(words), n_words)]) for _ in range(n_texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    df = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    label = langid.identify(df, model)
+    tracemalloc.start()
+    told = [b.drop_columns(["text"]) if "text" in b.schema.names else b for b in label(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    got = [r for b in told for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(len(texts)))
+    assert [(r["lang_pred"], r["score"], r["n_spans"]) for r in got[:3]] == [("und", 0, 0)] * 3
+    for i in (3, len(texts) // 2, len(texts) - 1):
+        assert got[i : i + 1] == [r for b in label(iter([batch.slice(i, 1)])) for r in b.to_pylist()]
+    assert peak < most_mb
+
+
+def test_counts_in_parts_add_up(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(["de", "en"] * 300), pa.array([f"{chr(97 + i % 26) * 3} γ{chr(97 + i % 7)} the" for i in range(600)])], names=["lang", "text"])
+
+    def counted():
+        total = Counter()
+        found = [b.to_pylist() for b in langid._count(iter([batch]))]
+        for r in (r for b in found for r in b):
+            total[r["lang"], r["cell"]] += r["n"]
+        return len(found), total
+
+    whole = counted()
+    monkeypatch.setattr(langid, "COUNTED", 5)
+    parts = counted()
+    assert parts[0] > whole[0] and parts[1] == whole[1]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b", "c"], np.zeros((langid.CELLS, 3), np.float32), {s: np.arange(3) for s in langid.SCRIPTS})
