@@ -18,9 +18,12 @@ def state(missed: Column) -> Column:
 
 
 def missed_beats(beats: DataFrame, peer: str, at: str, beat_ms: int = BEAT_MS) -> DataFrame:
-    """Each beat with the number missed since the peer's last one and the state just before it; a beat resets the count."""
-    w = Window.partitionBy(peer).orderBy(at, *[c for c in beats.columns if c not in (peer, at)][:1])
-    gap_ms = F.expr(f"timestampdiff(MILLISECOND, __last, {at})")
+    """Each beat with the number missed since the peer's last one and the state just before it; a beat resets the count.
+
+    The clock ticks in milliseconds, as in ``states_at``: a gap is the ticks between two beats, not the whole milliseconds that passed.
+    """
+    w = Window.partitionBy(peer).orderBy(at, *[F.col(c).asc_nulls_last() for c in beats.columns if c not in (peer, at)][:1])
+    gap_ms = F.timestamp_diff("MILLISECOND", F.date_trunc("millisecond", "__last"), F.date_trunc("millisecond", at))
     out = beats.withColumn("__last", F.lag(at).over(w)).withColumn("gap_ms", gap_ms)
     out = out.withColumn("missed", F.when(F.col("gap_ms").isNotNull(), F.greatest(F.lit(0), F.floor((F.col("gap_ms") - 1) / beat_ms))))
     return out.withColumn("state", state(F.col("missed"))).drop("__last")

@@ -393,6 +393,25 @@ def test_states(spark):
     assert {r.p: r.state for r in health.states_at(beats, "p", "at", now).collect()} == {"a": "FAILED", "b": "SUSPECTED"}
 
 
+def test_missed_beats_count_ticks(spark, tmp_path):
+    """A beat's millisecond is cut, then compared; and of beats at one time, those without an id come last."""
+    import duckdb
+
+    from heddle import catalog
+
+    spark.sql("""SELECT * FROM VALUES
+      (1L, 1L, timestamp_ntz'2024-01-01 00:00:00.0009'), (2L, 1L, timestamp_ntz'2024-01-01 01:00:00.0010'), (3L, 1L, timestamp_ntz'2024-01-01 02:00:00.0019'),
+      (4L, 2L, timestamp_ntz'1960-01-01 00:00:00.0009'), (5L, 2L, timestamp_ntz'1960-01-01 01:00:00.0010'),
+      (6L, 3L, timestamp_ntz'1969-12-31 23:59:59.9995'), (7L, 3L, timestamp_ntz'1970-01-01 00:59:59.9995'), (8L, 3L, timestamp_ntz'1970-01-01 02:00:00'),
+      (9L, 4L, timestamp_ntz'2024-01-01 00:00:00'), (10L, 4L, timestamp_ntz'2024-01-01 09:00:00'), (null, 4L, timestamp_ntz'2024-01-01 09:00:00'), (11L, 4L, null),
+      (12L, null, timestamp_ntz'2024-01-01 00:00:00'), (13L, null, timestamp_ntz'2024-01-01 04:00:00') AS t(event_id, user_id, ts)""").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["health_missed"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(con.execute(catalog.SQL["health_missed"]).fetchall(), key=str)
+    assert {i: m for i, m, _ in got} == {1: None, 2: 1, 3: 0, 4: None, 5: 1, 6: None, 7: 0, 8: 1, 9: None, 10: 8, None: 0, 11: None, 12: None, 13: 3}
+
+
 def test_streams(spark, tmp_path):
     path, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     rows = spark.sql("SELECT 1 AS k, timestamp_ntz'2024-01-01 00:00:00' AS ts, 1.0D AS value")
