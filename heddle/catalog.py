@@ -279,9 +279,13 @@ def agg_approx_distinct(t):
 
 @query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY l_returnflag")
 def agg_approx_error(t):
-    """Estimates of distinct parts beside the exact counts: ``near`` is within three standard errors."""
-    told, exact = F.approx_count_distinct("l_partkey", 0.02), F.count_distinct("l_partkey")
-    return t.lineitem.groupBy("l_returnflag").agg(exact.alias("parts"), (F.abs(told - exact) <= 3 * 0.02 * exact).alias("near"))
+    """Estimates of distinct parts beside the exact counts: ``near`` is within three standard errors.
+
+    Both are taken of distinct pairs, which leaves the estimate as it is: beside a ``count_distinct``, each pair would hold a sketch (3 KB) of its own.
+    """
+    told, exact = F.approx_count_distinct("l_partkey", 0.02), F.count("l_partkey")
+    pairs = t.lineitem.select("l_returnflag", "l_partkey").distinct()
+    return pairs.groupBy("l_returnflag").agg(exact.alias("parts"), (F.abs(told - exact) <= 3 * 0.02 * exact).alias("near"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
